@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,5 +84,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pairs_to_dict(rows: Iterable) -> dict:
-    return {r[0]: r[1] for r in rows}
+def widened(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The schema of df's columns `names`, with the columns of the DDL text `more` after them."""
+    return T.StructType([df.schema[n] for n in names] + T.StructType.fromDDL(more).fields)

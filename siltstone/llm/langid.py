@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import texts, values
+from .common import texts, values, widened
 
 #: Byte classes: space, a to z, and each byte from 0x80.
 CLASSES = 1 + 26 + 128
@@ -164,5 +164,4 @@ def identify(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
             found = model.value.predict(texts(batch, text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_share"])
 
-    schema = df.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_share", "double")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, widened(df, df.columns, "lang_pred string, lang_score double, lang_share double"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, widened
 
 # The phrases whose places are counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -145,8 +145,8 @@ def frequencies(df: DataFrame, text: str = "text", templates: dict[str, str] = T
 def scan(df: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """df's columns but the text, with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     join = df.sparkSession.sparkContext.broadcast(Join(frequencies(df, text, templates), templates, threshold))
-    new = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double")]
-    names = [n for n, _ in new]
+    new = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    names = [x.split()[0] for x in new.split(", ")]
     rest = [c for c in df.columns if c != text and c not in names]
 
     def run(batches):
@@ -163,9 +163,6 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATE
                 out.append((len(found), len(base), min(at, default=None), max(at, default=None), ",".join(mine), ",".join(sorted({*mine, *(n for n, _ in own)})), score))
             yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, *[pa.array([r[i] for r in out], t) for i, t in enumerate(types)]], names=[*rest, *names])
 
-    schema = df.select(rest).schema
-    for name, kind in new:
-        schema = schema.add(name, kind)
-    return df.select(*rest, text).mapInArrow(run, schema)
+    return df.select(*rest, text).mapInArrow(run, widened(df, rest, new))
 
 

@@ -12,10 +12,15 @@ files; damaged or unknown files raise ValueError.
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+
+from .common import texts, widened
 
 #: Blocks of 8 x 8 in a frame at most: a frame is a strip of 8 lines.
 BLOCKS = 64
@@ -297,8 +302,6 @@ def probe(data: bytes) -> dict:
 
 def clips(df, media: str = "media"):
     """Timed clip rows of a column of AVI files: df's other columns with clip, first_frame, n_frames, start_s, end_s."""
-    import pyarrow as pa
-
     rest = [c for c in df.columns if c != media]
     names = ["clip", "first_frame", "n_frames", "start_s", "end_s"]
 
@@ -314,18 +317,11 @@ def clips(df, media: str = "media"):
             types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array([c[i] for c in cut], t) for i, t in enumerate(types)]], names=[*rest, *names])
 
-    schema = df.select(rest).schema
-    for name, kind in zip(names, ["int", "int", "int", "double", "double"]):
-        schema = schema.add(name, kind)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, widened(df, rest, "clip int, first_frame int, n_frames int, start_s double, end_s double"))
 
 
 def with_media(df, text: str = "text"):
     """df's columns but the text, with media: the AVI file of the padded text, and n_bytes, its unpadded length."""
-    import pyarrow as pa
-
-    from .common import texts
-
     rest = [c for c in df.columns if c not in (text, "media", "n_bytes")]
 
     def run(batches):
@@ -336,7 +332,7 @@ def with_media(df, text: str = "text"):
                 files = [write_avi(padded(x)) for x in items]
                 yield pa.RecordBatch.from_arrays([*part.select(rest).columns, pa.array([len(x) for x in items], pa.int64()), pa.array(files, pa.binary())], names=[*rest, "n_bytes", "media"])
 
-    return df.select(*rest, text).mapInArrow(run, df.select(rest).schema.add("n_bytes", "long").add("media", "binary"))
+    return df.select(*rest, text).mapInArrow(run, widened(df, rest, "n_bytes long, media binary"))
 
 
 def padded(x: bytes) -> bytes:
@@ -345,11 +341,6 @@ def padded(x: bytes) -> bytes:
 
 def digest(df, key: str = "doc_id", media: str = "media"):
     """Digest columns of stored files, each read back: see the query's contract."""
-    import hashlib
-    import zlib
-
-    import pyarrow as pa
-
     def run(batches):
         for batch in batches:
             out = []
@@ -363,7 +354,5 @@ def digest(df, key: str = "doc_id", media: str = "media"):
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = df.select(key).schema
-    for name, kind in zip(names[1:], ["long", "long", "string", "long", "long", "string", "string"]):
-        schema = schema.add(name, kind)
-    return df.select(key, "n_bytes", media).mapInArrow(run, schema)
+    new = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return df.select(key, "n_bytes", media).mapInArrow(run, widened(df, [key], new))
