@@ -207,9 +207,9 @@ def fit(df: DataFrame, labels: DataFrame, train_rows: Column, key: str = "doc_id
                 pos = np.bincount(at, owner, len(ids)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(pos), pa.array(np.bincount(at, minlength=len(ids)).astype(np.int64) - pos)], names=["f", "pos", "neg"])
 
-    sizes = rows.agg(F.count_if("label = 1"), F.count_if("label != 1")).first()
+    sizes = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)).first()
     toxic, clean = max(1, sizes[0]), max(1, sizes[1])
-    counts = rows.mapInArrow(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg >= 2")
+    counts = rows.mapInArrow(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") + F.col("neg") >= 2)
     lift = (F.col("pos") + 0.1) / toxic / ((F.col("neg") + 0.1) / clean)
     counts = counts.withColumn("lift", F.abs(F.log(lift)) * F.sqrt(F.col("pos") + F.col("neg") * toxic / clean)).orderBy(F.desc("lift"), "f").limit(4 * FEATURES)
     keep, mined = select([(r["f"], r["pos"], r["neg"]) for r in counts.collect()], toxic, clean)
