@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, media, mixing, pages, simhash, toxicity
+from . import bpe, langid, licenses, lm, media, mixing, pages, simhash, toxicity
 from .common import fold, table
 
 
@@ -20,6 +20,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("key").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm.score(docs, fold(F.col("doc_id"), 7) != 2)
+    return found.select("doc_id", (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokenizer_file()
     found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file), file)
