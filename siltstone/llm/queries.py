@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, lm, media, mixing, pages, simhash, toxicity
+from . import bpe, langid, licenses, lm, media, mixing, neardup, pages, simhash, toxicity
 from .common import fold, table
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
