@@ -102,7 +102,7 @@ def semantic_segments(df: DataFrame, embed, key: str = "doc_id", settings: Setti
     sent = df.select(key, F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
     line = Window.partitionBy(key).orderBy("pos")
     wide = F.array_join(F.collect_list("sentence").over(line.rowsBetween(-1, 1)), " ")
-    vec = sent.withColumn("v", normalised(embed(wide)))
+    vec = sent.withColumn("wide", wide).withColumn("raw", embed(F.col("wide"))).withColumn("v", normalised(F.col("raw"))).drop("wide", "raw")
     gap = vec.withColumn("gap", 1 - dot(F.col("v"), F.lead("v").over(line))).drop("v")
     cut = F.percentile("gap", F.lit(settings.breakpoint_percentile)).over(Window.partitionBy(key))
     marked = gap.withColumn("cut", F.coalesce((F.col("gap") > cut).cast("int"), F.lit(0)))

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.entities import COMPANIES
@@ -98,7 +99,7 @@ def text_of(page: str | None) -> str:
     return "\n".join(reader.out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(text_of)
 

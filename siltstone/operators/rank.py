@@ -32,32 +32,36 @@ def _best(score: str = "score") -> Column:
 class Bm25:
     """Postings and statistics of a corpus that has been filtered by role: other rights, other statistics.
 
-    corpus: doc_pos (its order, which breaks ties) and passage.
+    corpus: doc_pos (its order, which breaks ties), passage, and optionally scopes (array<string>):
+    the further filters a row passes, each with statistics of its own.
     """
 
     def __init__(self, corpus: Authorized, settings: Settings = DEFAULTS):
         self.settings = settings
-        terms = corpus.df.select("doc_pos", tokens(F.col("passage")).alias("t"))
-        each = terms.select("doc_pos", F.size("t").alias("dl"), F.explode("t").alias("token"))
-        self.postings = each.groupBy("token", "doc_pos", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        self.frequency = self.postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        self.size = terms.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
+        df = corpus.df if "scopes" in corpus.df.columns else corpus.df.withColumn("scopes", F.array(F.lit("")))
+        terms = df.select("doc_pos", F.explode("scopes").alias("scope"), tokens(F.col("passage")).alias("t"))
+        each = terms.select("scope", "doc_pos", F.size("t").alias("dl"), F.explode("t").alias("token"))
+        self.postings = each.groupBy("token", "scope", "doc_pos", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        self.frequency = self.postings.groupBy("token", "scope").agg(F.count(F.lit(1)).alias("df"))
+        self.size = terms.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
 
     def idf(self) -> DataFrame:
-        """(token, idf); a negative one becomes epsilon times the mean over the vocabulary."""
-        raw = self.frequency.join(F.broadcast(self.size.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = raw.agg(F.avg("raw").alias("mean"))
-        return raw.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, self.settings.bm25_epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        """(token, scope, idf); a negative one becomes epsilon times the mean over the scope's vocabulary."""
+        raw = self.frequency.join(self.size.select("scope", "n"), "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
+        return raw.join(mean, "scope").select("token", "scope", F.when(F.col("raw") < 0, self.settings.bm25_epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
     def search(self, questions: DataFrame, k: int | None = None) -> DataFrame:
-        """(query_id, doc_pos, score, rank) of questions (query_id, query): every document with a token of the question takes part."""
+        """(query_id, scope, doc_pos, score, rank) of questions (query_id, query, and scope where there are any): every document with a token of the question takes part."""
         s = self.settings
-        asked = questions.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-        weight = asked.join(self.idf(), "token")
-        hits = self.postings.join(weight, "token").join(F.broadcast(self.size.select("avgdl")))
+        if "scope" not in questions.columns:
+            questions = questions.withColumn("scope", F.lit(""))
+        asked = questions.select("query_id", "scope", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "scope", "token").agg(F.count(F.lit(1)).alias("times"))
+        weight = asked.join(self.idf(), ["token", "scope"])
+        hits = self.postings.join(weight, ["token", "scope"]).join(self.size.select("scope", "avgdl"), "scope")
         part = F.col("times") * F.col("idf") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl")))
-        scored = hits.groupBy("query_id", "doc_pos").agg(F.sum(part).alias("score"))
-        return ranked(scored, [_best(), F.asc("doc_pos")], k)
+        scored = hits.groupBy("query_id", "scope", "doc_pos").agg(F.sum(part).alias("score"))
+        return ranked(scored, [_best(), F.asc("doc_pos")], k, ["query_id", "scope"])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -130,11 +134,11 @@ def overlap_score(query: Column, passage: Column) -> Column:
     return F.when(F.size(q) > 0, 8.0 * F.size(F.array_intersect(q, tokens(passage))) / F.size(q) - 4.0).otherwise(-4.0)
 
 
-def rerank(candidates: DataFrame, k: int, scorer=overlap_score) -> DataFrame:
+def rerank(candidates: DataFrame, k: int, scorer=overlap_score, of: list[str] | None = None) -> DataFrame:
     """Candidates (query_id, query, passage, doc_pos) scored in pairs and cut to k; the raw score stays beside its relevance."""
     scored = candidates.withColumn("score", scorer(F.col("query"), F.col("passage"))).withColumn("score_type", F.lit("cross_encoder"))
     scored = scored.withColumn("relevance", relevance(F.col("score"), F.col("score_type")))
-    return ranked(scored.drop("rank") if "rank" in scored.columns else scored, [_best(), F.asc("doc_pos")], k)
+    return ranked(scored.drop("rank") if "rank" in scored.columns else scored, [_best(), F.asc("doc_pos")], k, of)
 
 
 def merge_legs(legs: DataFrame, k: int | None = None) -> DataFrame:

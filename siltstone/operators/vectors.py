@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
+import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN
+from .stage import written
 
 BLOCK_ROWS = 2048
 
 
+@cache
+def _hasher(size: int):
+    token = re.compile(TOKEN)
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.bincount([zlib.crc32(w.encode()) % size for w in token.findall((t or "").lower())], minlength=size).astype(np.float32))
+
+    return run
+
+
 def hashed(text: Column, size: int = 64) -> Column:
-    """The default embedding: counts of tokens by CRC-32, not yet normalised."""
-    slots = F.transform(tokens(text), lambda t: F.crc32(t.cast("binary")) % size)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+    """The default embedding, standing where a model would: counts of tokens by CRC-32, not yet normalised."""
+    return _hasher(size)(text)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -67,29 +79,21 @@ def histogram(pairs: DataFrame, thresholds=(0.90, 0.95, 0.98, 0.999)) -> DataFra
     return every.join(counted, "threshold", "left").select("threshold", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-    path = f"{at.rstrip('/')}/greedy-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def greedy_drop(df: DataFrame, pairs: DataFrame, pos: str = "pos") -> DataFrame:
     """df's rows that a pass in order keeps, where a row goes if an earlier kept row is similar.
 
     In rounds over all rows at once: a row with no undecided or kept earlier match is kept, a row
     with a kept one goes. A chain a~b~c without a~c keeps a and c.
     """
-    open_ = _written(pairs.select("later", "earlier").distinct())
+    open_ = written(pairs.select("later", "earlier").distinct())
     dropped = None
     while open_.limit(1).count():
         # The earlier row of a link is kept for certain if it has no open link to rows before it.
         kept = open_.select(F.col("earlier").alias("p")).distinct().join(open_.select(F.col("later").alias("p")).distinct(), "p", "left_anti")
-        gone = _written(open_.join(kept, open_["earlier"] == kept["p"]).select(F.col("later").alias("p")).distinct())
+        gone = written(open_.join(kept, open_["earlier"] == kept["p"]).select(F.col("later").alias("p")).distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
         g = gone.withColumnRenamed("p", "g")
-        open_ = _written(open_.join(g, open_["later"] == g["g"], "left_anti").join(g, open_["earlier"] == g["g"], "left_anti"))
+        open_ = written(open_.join(g, open_["later"] == g["g"], "left_anti").join(g, open_["earlier"] == g["g"], "left_anti"))
     return df if dropped is None else df.join(dropped.select(F.col("p").alias(pos)), pos, "left_anti")
 
 

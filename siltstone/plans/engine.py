@@ -11,6 +11,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import entities, guard
 from ..functions.text import passage
 from ..operators import access, answering, evaluate, rank
+from ..operators.stage import written
 
 
 @dataclass
@@ -60,20 +61,27 @@ class Engine:
             raise ValueError(f"unknown retrieval mode: {mode}")
         found = hits.join(questions.select("query_id", "query"), "query_id").join(allowed.df, "doc_pos").withColumn("passage", text)
         best = rank.rerank(found, k, self.scorer)
-        return rank.continued(best, allowed.df)
+        return rank.continued(written(best, "hits"), allowed.df)
 
     def by_entity(self, questions: DataFrame, roles: set[str], k: int | None = None) -> DataFrame:
-        """Retrieval for each company that a question names, with the question scoped to it, merged; unfiltered where it names none."""
+        """Lexical retrieval for each company that a question names, with the question scoped to it, merged; unfiltered where it names none.
+
+        All legs are one search: a chunk stands in the scope of everything and in that of its ticker,
+        each with its own statistics.
+        """
         k = k or self.settings.top_k
         named = questions.withColumn("entities", entities.detect(F.col("query")))
-        legs = self.retrieve(named.filter(F.size("entities") == 0).select("query_id", "query"), roles, k=k).withColumn("entity_pos", F.lit(0))
-        for ticker in entities.COMPANIES:
-            mine = named.filter(F.array_contains("entities", ticker))
-            place = mine.select("query_id", F.array_position("entities", ticker).cast("int").alias("entity_pos"))
-            scoped = mine.select("query_id", entities.scope(F.col("query"), ticker).alias("query"))
-            leg = self.retrieve(scoped, roles, extra=F.col("ticker") == ticker, k=k).join(place, "query_id")
-            legs = legs.unionByName(leg)
-        return rank.merge_legs(legs, k)
+        place = F.when(F.size("entities") > 0, F.col("entities")).otherwise(F.array(F.lit("")))
+        legs = named.select("query_id", "query", "entities", F.posexplode(place).alias("entity_pos", "scope"))
+        scoped = F.coalesce(*[F.when(F.col("scope") == t, entities.scope(F.col("query"), t)) for t in entities.COMPANIES], F.col("query"))
+        legs = written(legs.select("query_id", "entity_pos", "scope", scoped.alias("query")), "legs")
+        allowed = access.authorized(self.corpus, roles)
+        text = passage(F.col("ticker"), F.col("section_name"), F.col("content"))
+        index = allowed.df.select("doc_pos", text.alias("passage"), F.array(F.lit(""), F.coalesce("ticker", F.lit("?"))).alias("scopes"))
+        hits = rank.Bm25(access.Authorized(index), self.settings).search(legs, self.settings.candidate_k).select("query_id", "scope", "doc_pos")
+        found = hits.join(legs, ["query_id", "scope"]).join(allowed.df.withColumn("passage", text), "doc_pos")
+        best = rank.rerank(found, k, self.scorer, ["query_id", "scope"])
+        return rank.continued(written(rank.merge_legs(best, k), "hits"), allowed.df)
 
     def ask_batch(self, questions: DataFrame, roles: set[str]) -> DataFrame:
         """(query_id, status, answer, flags, confidence, label): turned-away questions never reach retrieval, gated ones never the generator."""
@@ -81,8 +89,8 @@ class Engine:
         turned = F.when(F.col("violation").isNotNull(), F.col("violation")).when(F.col("injection.blocked"), F.col("injection.reason"))
         checked = checked.withColumn("turned", turned)
         open_ = checked.filter("turned IS NULL").select("query_id", "query")
-        hits = self.by_entity(open_, roles)
-        out = answering.grounded(open_, hits, self.generate, self.settings)
+        hits = written(self.by_entity(open_, roles), "hits")
+        out = written(answering.grounded(open_, hits, self.generate, self.settings), "answers")
         answer = guard.redact(guard.with_notes(F.col("answer")))
         flags = F.concat(guard.output_flags(F.col("answer")), guard.compliance_flags(F.col("answer")))
         done = out.select("query_id", "status", answer.alias("answer"), F.coalesce(flags, F.array().cast("array<string>")).alias("flags"), "confidence", "label")
