@@ -2,7 +2,7 @@
 
 Texts are normalised and split into words as the tokenizer file says. Each distinct word of the
 corpus is encoded once; ids come back by the word's place in its text. The most frequent words, a
-bounded number, are looked up in place; every other word travels through a join. Decoding looks each
+bounded number, are looked up in place; all others are dealt out by word and come back by a join. Decoding looks each
 id up in the table of pieces, as many rows as the vocabulary has.
 
 Defined results: null is the empty text, with no ids; special tokens written out in a text become
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, texts, values, widened
+from .common import texts, values, widened
 
 #: Words that tasks look up in place; all others are joined.
 FREQUENT = 200_000
 #: A task's counts are passed on when it holds so many distinct words.
 HELD = 400_000
+#: How often a task must have met a word to propose it as frequent.
+OFTEN = 4
 #: Stands in a row of ids for a word that is joined; its two halves of a number follow.
 MARK = 0xFFFF
 
@@ -86,14 +89,19 @@ def _strings(batch, name: str) -> list[str]:
     return [x.decode("utf-8", "replace") for x in texts(batch, name)]
 
 
-def word_table(df: DataFrame, file: str, text: str = "text") -> DataFrame:
-    """(word, n, ids): each distinct word, how often it occurs, and its ids as 16-bit numbers."""
+def frequent_words(df: DataFrame, file: str, text: str = "text") -> dict[str, bytes]:
+    """The ids, as 16-bit numbers, of up to FREQUENT of the most frequent words.
+
+    Tasks pass on only words that they have met OFTEN times. Which words are here decides how a word
+    is looked up, not what is found: every other word is joined.
+    """
 
     def count(batches):
         split, held = splitter(file), Counter()
 
         def passed():
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            often = [(w, n) for w, n in held.items() if n >= OFTEN]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for x in _strings(batch, text):
@@ -103,51 +111,68 @@ def word_table(df: DataFrame, file: str, text: str = "text") -> DataFrame:
                     held.clear()
         yield passed()
 
-    def encode(batches):
-        split = splitter(file)
-        for batch in batches:
-            out = [np.array(split.ids(w), "<u2").tobytes() for w in values(batch, "word")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["word", "n", "ids"])
+    counts = df.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()  # FREQUENT rows
+    return {r["word"]: _packed(splitter(file), r["word"]) for r in top}
+
+
+def _packed(split: Splitter, word: str) -> bytes:
+    return np.array(split.ids(word), "<u2").tobytes()
+
+
+def encode(df: DataFrame, file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df's key with ids: the text's token ids as little-endian unsigned 32-bit numbers.
 
+    A text becomes a line of ids with marks for the words that are joined. These words, each once for
+    a text, are dealt out by word and sorted, so that each distinct one is encoded once, wherever it
+    occurs; its ids travel back to the texts and take the places of the marks.
+    """
     if splitter(file).tokenizer.get_vocab_size() > MARK:
         raise ValueError("the vocabulary has more ids than 16 bits hold")
-    counts = df.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.mapInArrow(encode, "word string, n long, ids binary")
+    known = df.sparkSession.sparkContext.broadcast(frequent_words(df, file, text))
 
+    def ask(batches):
+        split, here = splitter(file), known.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                out = [[w for w in dict.fromkeys(split.words(x)) if w not in here] for x in _strings(part, text)]
+                yield pa.RecordBatch.from_arrays([*part.select(["_d", "_h"]).columns, pa.array(out, pa.list_(pa.string()))], names=["_d", "_h", "_words"])
 
-def encode(df: DataFrame, file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df's key with ids: the text's token ids as little-endian unsigned 32-bit numbers."""
-    spark = df.sparkSession
-    words = staged(word_table(df, file, text), "bpe-words")
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n", "ids").collect()  # FREQUENT rows
-    known = spark.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in top})
-    rare = words.filter((F.col("n") < top[-1]["n"]) | (F.col("n") == top[-1]["n"]) & (F.col("word") > top[-1]["word"])) if len(top) == FREQUENT else words.filter("false")
+    def answer(batches):
+        split, last, ids = splitter(file), None, b""
+        for batch in batches:
+            out = []
+            for w in values(batch, "word"):
+                if w != last:
+                    last, ids = w, _packed(split, w)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*batch.select(["_d", "_h", "slot"]).columns, pa.array(out, pa.binary())], names=["_d", "_h", "slot", "ids"])
 
     def look_up(batches):
-        split, here = splitter(file), known.value
-        get = here.get
+        split, get = splitter(file), known.value.get
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                blobs, others = [], []
+                blobs = []
                 for x in _strings(part, text):
                     found = split.words(x)
                     pieces = [get(w) for w in found]
-                    place: dict[str, int] = {}
                     if None in pieces:
+                        place: dict[str, int] = {}
                         for k, p in enumerate(pieces):
                             if p is None:
                                 n = place.setdefault(found[k], len(place))
-                                pieces[k] = np.array([MARK, n & 0xFFFF, n >> 16], "<u2").tobytes()
-                    blobs.append(zlib.compress(b"".join(pieces), 1))
-                    others.append(list(place))
-                yield pa.RecordBatch.from_arrays([*part.select([key, "_d", "_h"]).columns, pa.array(blobs, pa.binary()), pa.array(others, pa.list_(pa.string()))], names=[key, "_d", "_h", "_blob", "_words"])
+                                pieces[k] = struct.pack("<HHH", MARK, n & 0xFFFF, n >> 16)
+                    blobs.append(zlib.compress(b"".join(pieces), 6))
+                yield pa.RecordBatch.from_arrays([*part.select([key, "_d", "_h"]).columns, pa.array(blobs, pa.binary())], names=[key, "_d", "_h", "_blob"])
 
     keyed = df.select(key, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_d"), F.xxhash64(text).alias("_h"), text)
-    rows = keyed.mapInArrow(look_up, widened(keyed, [key, "_d", "_h"], "_blob binary, _words array<string>"))
-    asked = rows.select("_d", "_h", F.posexplode("_words").alias("slot", "word")).join(rare.select("word", "ids"), "word")
-    answers = asked.groupBy("_d", "_h").agg(F.collect_list(F.struct("slot", "ids")).alias("_got"))
-    both = rows.drop("_words").join(answers, ["_d", "_h"], "left").select(key, "_blob", "_got")
+    asked = keyed.mapInArrow(ask, "_d string, _h long, _words array<string>").select("_d", "_h", F.posexplode("_words").alias("slot", "word"))
+    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(answer, "_d string, _h long, slot int, ids binary")
+    answers = answers.groupBy("_d", "_h").agg(F.collect_list(F.struct("slot", "ids")).alias("_got"))
+    rows = keyed.mapInArrow(look_up, widened(keyed, [key, "_d", "_h"], "_blob binary"))
+    both = rows.join(answers, ["_d", "_h"], "left").select(key, "_blob", "_got")
 
     def put_back(batches):
         for batch in batches:
@@ -160,8 +185,7 @@ def encode(df: DataFrame, file: str, key: str = "doc_id", text: str = "text") ->
                     if len(marks):
                         ids = {g["slot"]: np.frombuffer(g["ids"], "<u2") for g in got}
                         pieces, at = [], 0
-                        marks = _true_marks(marks)
-                        for m in marks:
+                        for m in _true_marks(marks):
                             pieces += [line[at:m], ids[int(line[m + 1]) | int(line[m + 2]) << 16]]
                             at = m + 3
                         line = np.concatenate([*pieces, line[at:]])
