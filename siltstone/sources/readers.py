@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.entities import COMPANIES
 from ..operators.filings import html_text, path_metadata
@@ -85,7 +84,7 @@ def submissions(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("ticker"), F.col("filings.recent").alias("recent"))
 
 
-def chunks(spark: SparkSession, path: str, schema: StructType = CHUNKS) -> DataFrame:
+def chunks(spark: SparkSession, path: str, schema: str = CHUNKS) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
