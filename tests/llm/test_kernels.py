@@ -28,7 +28,7 @@ def test_banded_alignment(a, b, most):
 def test_sketches_of_odd_texts():
     assert len(neardup.sketches(b"")) == 0
     for line in (b"one", b"a b c d", b"a b c d e", b"x " * 3000 + b"y"):
-        assert len(neardup.sketches(neardup.normal(line))) == neardup.SKETCHES
+        assert len(neardup.sketches(neardup.normal(line))) == 2 * neardup.SKETCHES
     assert (neardup.sketches(b"a b c d e f") == neardup.sketches(b"a b c d e f")).all()
 
 
@@ -42,6 +42,14 @@ def test_media_round_trip(data):
     assert found["shots"][0][0] == 0 and found["shots"][-1][1] == len(found["histograms"])
 
 
+def test_common_kmers_are_left_to_the_second_family():
+    line = b"a b c d e f g h i j"
+    common = np.sort(neardup.kmers(line)[:3])
+    first = neardup.sketches(line, common)[: neardup.SKETCHES]
+    assert (first != neardup.sketches(line)[: neardup.SKETCHES]).any()
+    assert len(neardup.sketches(line, np.sort(neardup.kmers(line)))) == neardup.SKETCHES
+
+
 def test_media_general_decoder_agrees_and_damage_is_seen():
     jpeg = media.encode_frame(bytes(range(64)) * 3)
     info, fast = media.coefficients(jpeg)
