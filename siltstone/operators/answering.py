@@ -77,6 +77,14 @@ def verified(found: DataFrame, blocks: DataFrame, judge=overlap_judge, key: str
     return judged.unionByName(invented)
 
 
+def claim_verdicts(found: DataFrame, verdicts: DataFrame, key: str = "query_id") -> DataFrame:
+    """claims with the verdict on their first judged citation, null where none was judged."""
+    places = found.select(key, "claim_no", F.posexplode("citations").alias("place", "block"))
+    judged = places.join(verdicts.filter("verdict IS NOT NULL"), [key, "claim_no", "block"])
+    first = judged.groupBy(key, "claim_no").agg(F.min_by("verdict", "place").alias("verdict"))
+    return found.join(first, [key, "claim_no"], "left")
+
+
 def accuracy(verdicts: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, accuracy, counts): the mean worth of verdicts, null if none was judged, and how many of each."""
     each = verdicts.groupBy(key, "verdict").agg(F.count(F.lit(1)).alias("n"))
