@@ -97,6 +97,11 @@ def test_pages():
     assert pages.read("<div hidden><p>no</p></div><p>a < b &am</p>")[1] == ["a < b &am"]
 
 
+def test_pages_by_class():
+    page = '<div class="layout has-sidebar"><article class="post shared"><p>body</p><article class="comment"><p>me too</p></article><div id="cookie-notice">x</div></article><div class="sidebar">y</div></div>'
+    assert pages.read(page) == (["body"], [], ["me too", "x", "y"])
+
+
 def test_unique_runs():
     shared = "this very menu is on each page of ours"
     got = pages.unique_runs([(0, [shared, "only here"], []), (1, [shared + " tail words"], []), (2, [], [])])
