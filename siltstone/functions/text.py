@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 TOKEN = r"([a-z0-9]+(?:\.[0-9]+)?)"
 CONTINUES = "\n[continues]\n"
 
+# Lines of page furniture, the page number in group 1.
+_TITLE = r"[^\n]{0,90}\bForm[ \t]*10-[KQ]\b[^\n]{0,25}"
+_DIVIDER = r"[|•·–—]"
+CONTENTS = r"^[ \t]*table of contents[ \t]*$"
+PAGE_FOOTERS = [
+    rf"^[ \t]*{_TITLE}[ \t]*{_DIVIDER}[ \t]*(\d{{1,4}})[ \t]*$",
+    rf"^[ \t]*(\d{{1,4}})[ \t]*{_DIVIDER}[ \t]*{_TITLE}[ \t]*$",
+    r"^[ \t]*page[ \t]+(\d{1,4})(?:[ \t]+of[ \t]+\d{1,4})?[ \t]*$",
+]
+BARE_PAGE = r"^[ \t]*(\d{1,4})[ \t]*$"
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased words and numbers, with repeats."""
@@ -101,26 +112,17 @@ def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
 
 def clean(text: Column) -> Column:
     """Page furniture out, spaces and empty lines closed up."""
-    title = r"[^\n]{0,90}\bForm[ \t]*10-[KQ]\b[^\n]{0,25}"
-    divider = r"[|•·–—]"
     out = F.replace(text, F.lit("\u00a0"), F.lit(" "))
-    for pattern in (
-        r"(?imd)^[ \t]*table of contents[ \t]*$",
-        rf"(?imd)^[ \t]*{title}[ \t]*{divider}[ \t]*\d{{1,4}}[ \t]*$",
-        rf"(?imd)^[ \t]*\d{{1,4}}[ \t]*{divider}[ \t]*{title}[ \t]*$",
-        r"(?imd)^[ \t]*page[ \t]+\d{1,4}(?:[ \t]+of[ \t]+\d{1,4})?[ \t]*$",
-        r"(?md)^[ \t]*\d{1,4}[ \t]*$",
-    ):
-        out = F.regexp_replace(out, pattern, "")
+    for pattern in (CONTENTS, *PAGE_FOOTERS, BARE_PAGE):
+        out = F.regexp_replace(out, f"(?imd){pattern}", "")
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
     return stripped(out)
 
 
 def page_number(line: Column) -> Column:
     """The page that a line of paging apparatus names; null for any other line."""
-    title, divider = r"[^\n]{0,90}\bForm[ \t]*10-[KQ]\b[^\n]{0,25}", r"[|•·–—]"
-    forms = [(r"^[ \t]*(\d{1,4})[ \t]*$", 1), (rf"(?i)^[ \t]*{title}[ \t]*{divider}[ \t]*(\d{{1,4}})[ \t]*$", 1), (rf"(?i)^[ \t]*(\d{{1,4}})[ \t]*{divider}[ \t]*{title}[ \t]*$", 1), (r"(?i)^[ \t]*page[ \t]+(\d{1,4})(?:[ \t]+of[ \t]+\d{1,4})?[ \t]*$", 1)]
-    return F.coalesce(*[F.when(F.rlike(line, F.lit(p)), F.regexp_extract(line, p, g)) for p, g in forms]).cast("int")
+    forms = [f"(?i){p}" for p in (BARE_PAGE, *PAGE_FOOTERS)]
+    return F.coalesce(*[F.when(F.rlike(line, F.lit(p)), F.regexp_extract(line, p, 1)) for p in forms]).cast("int")
 
 
 def is_title(line: Column) -> Column:
