@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import texts, values, widened
 
 #: Words that tasks look up in place; all others are joined.
-FREQUENT = 200_000
+FREQUENT = 150_000
 #: A task's counts are passed on when it holds so many distinct words.
 HELD = 400_000
 #: How often a task must have met a word to propose it as frequent.
@@ -112,8 +112,8 @@ def frequent_words(df: DataFrame, file: str, text: str = "text") -> dict[str, by
         yield passed()
 
     counts = df.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()  # FREQUENT rows
-    return {r["word"]: _packed(splitter(file), r["word"]) for r in top}
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()  # FREQUENT rows
+    return {w: _packed(splitter(file), w) for w in top["word"].to_pylist()}
 
 
 def _packed(split: Splitter, word: str) -> bytes:

@@ -34,7 +34,7 @@ SUFFIXES = 32
 END, START = OWN + SUFFIXES, OWN + SUFFIXES + 1
 CLASSES = OWN + SUFFIXES + 2
 #: Words whose counts tasks look up in place; all others are joined.
-FREQUENT = 150_000
+FREQUENT = 100_000
 HELD = 400_000
 SIZE = 24
 NOISE = 20
@@ -153,7 +153,9 @@ def score(df: DataFrame, train_rows: Column, key: str = "doc_id", text: str = "t
     learning = df.filter(train_rows)
     counts = staged(count_words(learning, text), "lm-counts")
     ends = learning.count()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]  # FREQUENT rows
+    most = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()  # FREQUENT rows
+    top = list(zip(most["word"].to_pylist(), most["n"].to_pylist()))
+    del most
     lookup = Lookup(top)
     shared = spark.sparkContext.broadcast(lookup)
     rare = counts.filter((F.col("n") < top[-1][1]) | (F.col("n") == top[-1][1]) & (F.col("word") > F.lit(bytearray(top[-1][0])))) if len(top) == FREQUENT else counts.filter("false")
@@ -167,8 +169,9 @@ def score(df: DataFrame, train_rows: Column, key: str = "doc_id", text: str = "t
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["cell", "n"])
 
-    found = learning.select(text).mapInArrow(trigrams, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")  # CLASSES^3 rows at most
-    cells, n = found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+    found = learning.select(text).mapInArrow(trigrams, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")  # CLASSES^3 rows at most
+    cells, n = found["cell"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.float64)
+    del found
     table = log_probabilities(train(cells, n))
 
     # Tokens and types of each class.

@@ -169,7 +169,7 @@ def test_bpe(docs, empty, monkeypatch):
     assert bpe.encode(empty, file).count() == 0
 
 
-@pytest.mark.parametrize("frequent", [150_000, 3])
+@pytest.mark.parametrize("frequent", [100_000, 3])
 def test_lm(docs, empty, monkeypatch, frequent):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     monkeypatch.setattr(lm, "STEPS", 60)
