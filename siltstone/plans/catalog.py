@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +14,26 @@ from ..functions import entities
 from ..functions import text as T
 from ..operators import access, answering, evaluate, filings, rank, vectors
 
+#: Columns that the tables themselves hold as int.
+TABLE_INTS = ("label", "quality", "toxic")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 c = F.col
 
 
 def query(sql: str | None = None):
+    """Register a query, with its SQL if there is any; counts and places come out as bigint, as in SQL."""
+
     def put(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            out = f(spark, d)
+            return out.withColumns({n: F.col(n).cast("long") for n, kind in out.dtypes if kind == "int" and n not in TABLE_INTS})
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
-        return f
+        return run
 
     return put
 

@@ -189,7 +189,7 @@ QUESTIONS = [
     "What was Apple's total net revenue?", "Compare the risk factors of Apple and Tesla, and Microsoft", "How do JPMorgan Chase and Goldman Sachs compare on capital?", "What was total revenue last year?",
     "what are the company's main risks?", "What was Netflix's streaming revenue?", "Does GS or TSLA disclose VaR versus peers?", "differences between Tesla and AAPL margins", "how much did the bank set aside?", "hello",
 ]
-_QV = "q(query_id, query) AS (VALUES " + ", ".join("({}, '{}')".format(k, q.replace("'", "''")) for k, q in enumerate(QUESTIONS)) + ")"
+_QV = "q(query_id, query) AS (VALUES " + ", ".join("({}::BIGINT, '{}')".format(k, q.replace("'", "''")) for k, q in enumerate(QUESTIONS)) + ")"
 _FOUND = [["AAPL"], ["AAPL", "TSLA", "MSFT"], ["JPM", "GS"], [], [], [], ["GS", "TSLA"], ["TSLA", "AAPL"], [], []]
 
 
