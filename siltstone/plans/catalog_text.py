@@ -57,8 +57,7 @@ def chunk_table_context(spark, d):
 
 @query()
 def chunk_semantic(spark, d):
-    few = _source(spark, d).filter("length(text) < 2000")
-    return chunking.chunk(few, "semantic", embed=lambda t: vectors.hashed(t, 16)).select("doc_id", "chunk_index", "char_count")
+    return chunking.chunk(_source(spark, d), "semantic", embed=lambda t: vectors.hashed(t, 16)).select("doc_id", "chunk_index", "char_count")
 
 
 @query("WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents) SELECT doc_id, len(s) AS n, sha256(array_to_string(s, chr(1))) AS h FROM p")
@@ -151,18 +150,29 @@ def page_numbers(spark, d):
     return docs(spark, d).select("doc_id", T.page_number(line).cast("long").alias("page"))
 
 
+def _bound(df: DataFrame, key, t, gap: str) -> DataFrame:
+    """Filings (doc_id, text) of documents put together in the order of their ids."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", t.alias("t")))), lambda x: x["t"]), gap)
+    return df.groupBy(key.alias("key")).agg(text.alias("text")).withColumnRenamed("key", "doc_id")
+
+
 @query()
 def section_spans(spark, d):
-    parts = docs(spark, d).filter("n_chars > 200 AND n_chars < 3000").select(c("source").alias("doc_id"), c("doc_id").alias("n"), "text")
-    body = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("n", "text"))), 1, 4), lambda x, k: F.concat(F.lit("\nItem "), F.element_at(F.array(F.lit("1"), F.lit("1A"), F.lit("7"), F.lit("8")), k + 1), F.lit(". Title\n"), x["text"])), "\n")
-    return filings.section_spans(parts.groupBy("doc_id").agg(body.alias("text"))).select("doc_id", "section_id", "section_name", "start", F.length("content").alias("n_chars"))
+    # Four documents whose ids follow one another are the four Items of a filing.
+    item = F.element_at(F.array(F.lit("1"), F.lit("1A"), F.lit("7"), F.lit("8")), F.pmod("doc_id", F.lit(4)).cast("int") + 1)
+    parts = _bound(docs(spark, d), F.floor(c("doc_id") / 4), F.concat(F.lit("\nItem "), item, F.lit(". Title\n"), c("text")), "\n")
+    return filings.section_spans(parts).select("doc_id", "section_id", "section_name", "start", F.length("content").alias("n_chars"))
+
+
+#: Page numbers have four digits at most, so a source's documents are bound in volumes of so many ids.
+PAGES = 9999
 
 
 @query()
 def running_header_strip(spark, d):
-    lines = docs(spark, d).filter("doc_id < 200").select(c("source").alias("key"), "doc_id", F.concat(F.lit("Acme 2025 Form 10-K | "), (c("doc_id") + 1).cast("string"), F.lit("\nACME CORP AND SUBSIDIARIES\n"), F.substring("text", 1, 80)).alias("t"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "\n")
-    return filings.running_headers(lines.groupBy(c("key").alias("doc_id")).agg(text.alias("text")))
+    page = (F.pmod("doc_id", F.lit(PAGES)) + 1).cast("string")
+    t = F.concat(F.lit("Acme 2025 Form 10-K | "), page, F.lit("\nACME CORP AND SUBSIDIARIES\n"), F.coalesce("text", F.lit("")))
+    return filings.running_headers(_bound(docs(spark, d), F.concat_ws("/", "source", F.floor(c("doc_id") / PAGES).cast("string")), t, "\n"))
 
 
 # ---------------------------------------------------------------- figures, questions
