@@ -146,6 +146,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == {k: find(k) for k in range(len(texts))}
 
 
+def test_drifting_chains_stay_whole(spark, monkeypatch):
+    # Every text in one bucket, so that those that leave with a leader are the links to those that stay.
+    monkeypatch.setattr(neardup, "sketches", lambda line, common=None: np.array([7], np.uint64))
+    texts = []
+    for chain in range(6):
+        t = [f"c{chain}w{k}" for k in range(100)]
+        for step in range(8):
+            texts.append(list(t))
+            t[12 * step : 12 * step + 12] = [f"c{chain}s{step}n{k}" for k in range(12)]
+    near = [[neardup.distance(a, b, 20) <= 20 for b in texts] for a in texts]
+    assert all(near[i][j] == (i // 8 == j // 8 and abs(i - j) <= 1) for i in range(48) for j in range(48))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == {k: k // 8 * 8 for k in range(48)}
+
+
 def test_components(spark):
     edges = [(b"a", b"b"), (b"b", b"c"), (b"d", b"e"), (b"z", b"c"), (b"q", b"q")] + [(b"%03d" % k, b"%03d" % (k + 1)) for k in range(40)]
     df = spark.createDataFrame(edges, "a binary, b binary")
