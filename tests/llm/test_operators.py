@@ -161,6 +161,27 @@ def test_drifting_chains_stay_whole(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == {k: k // 8 * 8 for k in range(48)}
 
 
+def test_a_page_at_two_addresses_keeps_its_text(spark):
+    menu = "<div>home news sport culture travel money weather jobs</div>"
+    body = ["<div>" + " ".join(f"p{k}w{x}" for x in range(30)) + "</div>" for k in range(3)]
+    rows = [(0, "http://h/a", menu + body[0]), (1, "http://h/b", menu + body[0]), (1, "http://h/b", menu + body[0]), (2, "http://h/c", menu + body[1]), (3, "http://h/d", menu + body[2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["text"]) for r in pages.extract(df).collect())
+    assert got == sorted((k, " ".join(f"p{max(0, k - 1)}w{x}" for x in range(30))) for k, *_ in rows)
+
+
+def test_furniture_of_a_large_host_goes_whatever_shards_it_is_in(spark):
+    n = 2 * pages.SHARD_PAGES + 50
+    rare = "<div>one two three four five six seven eight</div>"
+    rows = [(k, f"http://h/{k}", (rare if k % 100 == 7 else "") + "<div>" + " ".join(f"p{k}w{x}" for x in range(20)) + "</div>") for k in range(n)]
+    for at in range(0, 16):  # pairs of pages that alone share a line, most of them in different shards
+        for k in (20 + at, 220 + at):
+            rows[k] = (k, rows[k][1], f"<div>{' '.join(f'm{at}x{j}' for j in range(8))}</div>" + rows[k][2])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    assert got == {k: " ".join(f"p{k}w{x}" for x in range(20)) for k in range(n)}
+
+
 def test_components(spark):
     edges = [(b"a", b"b"), (b"b", b"c"), (b"d", b"e"), (b"z", b"c"), (b"q", b"q")] + [(b"%03d" % k, b"%03d" % (k + 1)) for k in range(40)]
     df = spark.createDataFrame(edges, "a binary, b binary")
