@@ -32,7 +32,8 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokenizer_file()
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file), file)
+    rows, used = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), file)
+    found = bpe.decode(rows, file, used=used)
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
