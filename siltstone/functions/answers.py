@@ -20,11 +20,13 @@ REFUSALS = [
     "cannot answer this question",
 ]
 PARTIAL = ["does not specify", "do not specify", "does not provide", "do not provide", "is not disclosed", "not addressed in", "however, the context", "however, the documents"]
+# What a report says for each reason.
 REASONS = {
     "low_retrieval_confidence": "No sufficiently relevant passage was found in the filings you have access to, so no answer was generated.",
     "model_refused": "Relevant filings were retrieved, but they do not state what the question asks for.",
     "ambiguous_entity": "The question does not say which company it is about, and the corpus answers it differently for each one. Answering would mean picking a company the question never named.",
 }
+# The worth of verdicts, and marks of failures.
 VERDICT_WORTH = {"supported": 1.0, "partial": 0.5, "unsupported": 0.0, "out_of_range": 0.0}
 QUOTA = ["insufficient_quota", "credit_balance", "no credits remaining", "exceeded your current quota", "rate limit", "429"]
 AUTH = ["invalid_api_key", "incorrect api key", "unauthorized", "401"]

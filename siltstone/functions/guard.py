@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import stripped
+
 # Limits and patterns of the input screen.
 SHORTEST, LONGEST = 2, 1000
 BLOCKED = [r"(?i)(drop\s+table|delete\s+from|insert\s+into|update\s+.*\s+set)", r"<script[^>]*>", r"(?i)(exec|eval|import\s+os|subprocess)"]
@@ -86,7 +88,7 @@ def violation(query: Column, strict: bool = False) -> Column:
     """Why a question is turned away; null if it isn't. strict looks for whole words of code only."""
     q = F.coalesce(query, F.lit(""))
     return (
-        F.when(F.trim(q) == "", "empty_input")
+        F.when(stripped(q) == "", "empty_input")
         .when(F.length(q) < SHORTEST, "too_short")
         .when(F.length(q) > LONGEST, "too_long")
         .when(any_of(q, BLOCKED_STRICT if strict else BLOCKED), "blocked_pattern")

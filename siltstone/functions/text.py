@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"([a-z0-9]+(?:\.[0-9]+)?)"
 CONTINUES = "\n[continues]\n"
@@ -18,6 +23,10 @@ PAGE_FOOTERS = [
     r"^[ \t]*page[ \t]+(\d{1,4})(?:[ \t]+of[ \t]+\d{1,4})?[ \t]*$",
 ]
 BARE_PAGE = r"^[ \t]*(\d{1,4})[ \t]*$"
+# A running header repeats so often, is so short, and stands so many lines below a page number at most.
+HEADER_REPEATS, HEADER_CHARS, HEADER_LINES = 8, 60, 2
+
+_PAGE_LINES = [re.compile(p, re.I) for p in (BARE_PAGE, *PAGE_FOOTERS)]
 
 
 def tokens(text: Column) -> Column:
@@ -110,9 +119,51 @@ def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
+def _page_of(line: str) -> int | None:
+    found = next((m for m in (p.match(line) for p in _PAGE_LINES) if m), None)
+    return int(found[1]) if found else None
+
+
+def headers_blanked(text: str) -> str:
+    """The text with its running headers as empty lines.
+
+    A running header is a short title that repeats; each time it counts it stands within HEADER_LINES
+    lines, not counting blank ones, below a page number, and those numbers strictly ascend.
+    """
+    lines = text.split("\n")
+    bare = [x.strip() for x in lines]
+    titles = {x for x, n in Counter(bare).items() if n >= HEADER_REPEATS and 0 < len(x) <= HEADER_CHARS and "|" not in x and "A" <= x[0] <= "Z" and x[-1] not in "$," and _page_of(x) is None}
+    if not titles:
+        return text
+    below: list[int | None] = []  # pages of the last lines, the nearest first
+    marked: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for k, x in enumerate(bare):
+        if not x:
+            continue
+        page = next((p for p in below if p is not None), None)
+        if x in titles and page is not None:
+            marked[x].append((k, page))
+        below = [_page_of(x), *below][:HEADER_LINES]
+    for at in marked.values():
+        if len(at) >= HEADER_REPEATS and all(p < q for (_, p), (_, q) in zip(at, at[1:])):
+            for k, _ in at:
+                lines[k] = ""
+    return "\n".join(lines)
+
+
+@F.pandas_udf(StringType())
+def without_running_headers(texts: pd.Series) -> pd.Series:
+    return texts.map(headers_blanked, na_action="ignore")
+
+
 def clean(text: Column) -> Column:
-    """Page furniture out, spaces and empty lines closed up."""
-    out = F.replace(text, F.lit("\u00a0"), F.lit(" "))
+    """Page furniture out, running headers first, spaces and empty lines closed up."""
+    out = without_running_headers(F.replace(text, F.lit("\u00a0"), F.lit(" ")))
+    return closed_up(out)
+
+
+def closed_up(out: Column) -> Column:
+    """Lines of page furniture out, spaces and empty lines closed up."""
     for pattern in (CONTENTS, *PAGE_FOOTERS, BARE_PAGE):
         out = F.regexp_replace(out, f"(?imd){pattern}", "")
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")

@@ -83,8 +83,9 @@ def tagged(df: DataFrame, strategy: str, order: list[str]) -> DataFrame:
 
 
 def with_captions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Tables opened by the last prose before them in the same source and section."""
-    before = Window.partitionBy(source_key(), "section_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    """Tables opened by the last prose before them in the same source and section, by its name or, without one, its id."""
+    section = F.coalesce(*[c for c in ("section_name", "section_id") if c in df.columns])
+    before = Window.partitionBy(source_key(), section).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     tail = prose_tail(F.col("content"))
     caption = F.last(F.when(tail != "", tail), ignorenulls=True).over(before)
     out = df.withColumn("_caption", F.when(is_table(F.col("content")), caption))
@@ -93,23 +94,38 @@ def with_captions(df: DataFrame, order: list[str]) -> DataFrame:
     ).drop("_caption")
 
 
+def sentences_in_context(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, sentence, wide): each sentence of a text, and with its neighbours."""
+    sent = df.select(key, sentences(F.col(text)).alias("_s"))
+    both = F.transform("_s", lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), F.array_join(F.slice("_s", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ").alias("wide")))
+    return sent.select(key, F.explode(both).alias("x")).select(key, "x.pos", "x.sentence", "x.wide")
+
+
+def breakpoints(df: DataFrame, key: str, order: str, percentile: float = DEFAULTS.breakpoint_percentile) -> DataFrame:
+    """df (key, order, vector) with gap, the cosine distance to the key's next row, and is_cut: whether it is above the key's own percentile."""
+    line = Window.partitionBy(key).orderBy(order)
+    unit = df.withColumn("vector", normalised(F.col("vector")))
+    gaps = unit.withColumn("gap", 1 - dot(F.col("vector"), F.lead("vector").over(line))).drop("vector")
+    cut = F.percentile("gap", F.lit(percentile)).over(Window.partitionBy(key))
+    return gaps.withColumn("is_cut", F.coalesce(F.col("gap") > cut, F.lit(False)))
+
+
 def semantic_segments(df: DataFrame, embed, key: str = "doc_id", settings: Settings = DEFAULTS) -> DataFrame:
     """(key, segment, content): sentences cut where a sentence's surroundings differ from the next one's.
 
     The cosine distance of neighbouring windows of three sentences is held against the document's own
-    percentile; a segment over max_semantic_chars is split recursively by the caller.
+    percentile; a segment over max_semantic_chars is split recursively by the caller. A text of fewer
+    than two sentences is one segment as it is, unless it is blank.
     """
-    sent = df.select(key, F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-    line = Window.partitionBy(key).orderBy("pos")
-    wide = F.array_join(F.collect_list("sentence").over(line.rowsBetween(-1, 1)), " ")
-    vec = sent.withColumn("wide", wide).withColumn("raw", embed(F.col("wide"))).withColumn("v", normalised(F.col("raw"))).drop("wide", "raw")
-    gap = vec.withColumn("gap", 1 - dot(F.col("v"), F.lead("v").over(line))).drop("v")
-    cut = F.percentile("gap", F.lit(settings.breakpoint_percentile)).over(Window.partitionBy(key))
-    marked = gap.withColumn("cut", F.coalesce((F.col("gap") > cut).cast("int"), F.lit(0)))
-    part = F.coalesce(F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("segment")
+    single = df.filter((F.size(sentences(F.col("text"))) < 2) & (stripped(F.col("text")) != "")).select(key, F.lit(0).cast("long").alias("segment"), F.col("text").alias("content"))
+    several = df.filter(F.size(sentences(F.col("text"))) >= 2)
+    sent = sentences_in_context(several, key)
+    marked = breakpoints(sent.select(key, "pos", "sentence", embed(F.col("wide")).alias("vector")), key, "pos", settings.breakpoint_percentile)
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.coalesce(F.sum(F.col("is_cut").cast("int")).over(before), F.lit(0)).alias("segment")
     islands = marked.select(key, "pos", "sentence", part)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ")
-    return islands.groupBy(key, "segment").agg(text.alias("content"))
+    return islands.groupBy(key, "segment").agg(text.alias("content")).unionByName(single)
 
 
 def chunk(df: DataFrame, strategy: str = "recursive", size: int | None = None, embed=None, settings: Settings = DEFAULTS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.entities import COMPANIES
-from ..functions.text import clean, is_title, page_number
+from ..functions.text import HEADER_CHARS, HEADER_LINES, HEADER_REPEATS, clean, closed_up, headers_blanked, is_title, page_number
 
 # Sections of a 10-K, those usually wanted, and sizes.
 SECTIONS = {
@@ -27,10 +28,13 @@ SECTIONS = {
 WANTED = ("1", "1a", "7", "7a", "8")
 LEAST_BODY = 100
 LEAST_TAIL = 100_000
-HEADER_REPEATS, HEADER_CHARS, HEADER_LINES = 8, 60, 2
 
-#: An Item header at a line's start: its number, then the rest of the title line. (Java)
-ITEM = r"(?m)^\s*(?:ITEM|Item|item)\s*(\d+[aAbB]?)\s*[.:\-—–\s]*(?=[A-Z])"
+# An Item header at a line's start, its number, and a title of six characters at least.
+_NUMBER = r"^\s*(?:ITEM|Item|item)\s*(\d+[aAbB]?)\s*[.:\-—–\s]*"
+_TITLE_START = r"[A-Z][A-Za-z\s,&'\-]{5}"
+#: The header with the rest of its title's line; and one that ends, as the title does there, after six characters.
+ITEM = re.compile(rf"{_NUMBER}(?={_TITLE_START})[^\n]*\s*", re.M)
+ITEM_SHORT = re.compile(rf"{_NUMBER}{_TITLE_START}\s*", re.M)
 
 
 class _Reader(HTMLParser):
@@ -112,32 +116,55 @@ def tags_removed(page: Column) -> Column:
     return out
 
 
-def section_spans(df: DataFrame, key: str = "doc_id", text: str = "text", wanted=WANTED) -> DataFrame:
-    """(key, section_id, section_name, start, content) of filings, with a row for the material after the last section if it is long.
+def item_spans(text: str, short: bool = False) -> list[tuple[str, int, int, int]]:
+    """(number, header's start, body's start, body's end) of the Item headers that open a run of one number.
 
-    A header starts a span that runs to the next header of another number; of an item's spans the one
-    with the longest cleaned text counts, the first on ties; spans under LEAST_BODY are none. A filing
-    without any header is one section, cut to LEAST_TAIL characters.
+    A repeat of the number, as on each page's head, is inside the body, which reaches to the next other number.
     """
-    heads = F.regexp_extract_all(F.col(text), F.lit(f"({ITEM})"), 1)
-    with_heads = df.select(key, F.col(text).alias("_text"), heads.alias("_heads"), F.split(F.col(text), ITEM).alias("_parts"))
-    number = F.lower(F.regexp_extract("_head", r"(\d+[aAbB]?)", 1))
-    parts = with_heads.select(key, F.col("_parts").alias("p"), F.posexplode("_heads").alias("pos", "_head")).withColumn("number", number)
-    own = Window.partitionBy(key).orderBy("pos")
-    # Runs of headers with the same number; a span reaches to the end of its run.
-    run = F.sum(F.coalesce((F.lag("number").over(own) != F.col("number")).cast("int"), F.lit(1))).over(own)
-    spans = parts.withColumn("run", run)
-    last = F.max("pos").over(Window.partitionBy(key, "run"))
-    body = F.array_join(F.slice("p", F.col("pos") + 2, last - F.col("pos") + 1), "\n")
-    spans = spans.withColumn("last", last).withColumn("content", clean(body)).filter(F.col("number").isin(list(wanted)) & (F.length("content") >= LEAST_BODY))
-    best = spans.withColumn("r", F.row_number().over(Window.partitionBy(key, "number").orderBy(F.desc(F.length("content")), "pos"))).filter("r = 1")
+    heads = list((ITEM_SHORT if short else ITEM).finditer(text))
+    numbers = [m[1].lower() for m in heads]
+    opens = [k for k in range(len(heads)) if not k or numbers[k] != numbers[k - 1]]
+    ends = [heads[k].start() for k in opens[1:]] + [len(text)]
+    return [(numbers[k], heads[k].start(), heads[k].end(), e) for k, e in zip(opens, ends)]
+
+
+def section_spans(df: DataFrame, key: str = "doc_id", text: str = "text", wanted=WANTED, short_titles: bool = False) -> DataFrame:
+    """(key, section_id, section_name, start, content) of filings; start is the header's place in the text.
+
+    Of an item's spans the one with the longest cleaned text counts, the first on ties; spans under
+    LEAST_BODY are none. What follows the last section is one more, `incorporated`, if it is long;
+    without any section that is the whole filing. A filing without any header is one section, cut to
+    LEAST_TAIL characters. Titles are consumed as whole lines; with short_titles only their first six
+    characters are. A text is one row's work: it is neither dealt out nor repeated for its headers.
+    """
+
+    @F.pandas_udf("array<struct<number: string, start: int, body: string>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict]:
+            found = item_spans(t or "", short_titles)
+            out = [{"number": n, "start": a, "body": headers_blanked(t[b:e].replace("\u00a0", " "))} for n, a, b, e in found if n in wanted]
+            if not found:
+                return [{"number": "full", "start": 0, "body": headers_blanked((t or "")[:LEAST_TAIL].replace("\u00a0", " "))}]
+            # What may be left after any section that may turn out the last: the end of each wanted span, or the whole text.
+            return out + [{"number": f"after {a}", "start": e, "body": headers_blanked(t[e:].replace("\u00a0", " "))} for a, e in [(-1, 0), *[(a, e) for n, a, _, e in found if n in wanted]] if len(t) - e >= LEAST_TAIL]
+
+        return texts.map(one)
+
+    cleaned = F.transform(spans(F.col(text)), lambda x: F.struct(x["number"].alias("number"), x["start"].alias("start"), closed_up(x["body"]).alias("content")))
+    rows = df.select(key, cleaned.alias("_all"))
+    body = F.filter("_all", lambda x: x["number"].isin(list(wanted)) & (F.length(x["content"]) >= LEAST_BODY))
+    best = F.filter(F.transform(F.array(*map(F.lit, wanted)), lambda n: F.array_max(F.transform(F.filter(body, lambda x: x["number"] == n), lambda x: F.struct(F.length(x["content"]).alias("size"), (-x["start"]).alias("back"), x["content"].alias("content"), n.alias("number"))))), lambda x: x.isNotNull())
+    last = F.array_max(F.transform("_best", lambda x: -x["back"]))  # the start of the last section
+    rows = rows.withColumn("_best", best).withColumn("_last", F.coalesce(F.concat(F.lit("after "), last.cast("string")), F.lit("after -1")))
+    tail = F.filter("_all", lambda x: (x["number"] == F.col("_last")) & (F.length(x["content"]) >= LEAST_TAIL) | (x["number"] == "full"))
     names = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
-    found = best.select(key, F.concat(F.lit("item_"), "number").alias("section_id"), F.element_at(names, F.col("number")).alias("section_name"), "pos", "last", "p", "content")
-    end = found.groupBy(key).agg(F.max("last").alias("e"), F.first("p").alias("p"))
-    tail = end.withColumn("content", clean(F.array_join(F.slice("p", F.col("e") + 3, F.greatest(F.size("p") - F.col("e") - 2, F.lit(0))), "\n"))).filter(F.length("content") >= LEAST_TAIL)
-    tail = tail.select(key, F.lit("incorporated").alias("section_id"), F.lit("Incorporated Annual Report (MD&A and Financial Statements)").alias("section_name"), F.lit(1 << 30).alias("pos"), "content")
-    none = with_heads.filter(F.size("_heads") == 0).select(key, F.lit("full").alias("section_id"), F.lit("Full Filing").alias("section_name"), F.lit(0).alias("pos"), clean(F.substring("_text", 1, LEAST_TAIL)).alias("content"))
-    return found.drop("last", "p").unionByName(tail).unionByName(none).select(key, "section_id", "section_name", F.col("pos").alias("start"), "content")
+    named = F.transform("_best", lambda x: F.struct(F.concat(F.lit("item_"), x["number"]).alias("section_id"), F.element_at(names, x["number"]).alias("section_name"), (-x["back"]).alias("start"), x["content"].alias("content")))
+    rest = F.transform(tail, lambda x: F.struct(
+        F.when(x["number"] == "full", "full").otherwise("incorporated").alias("section_id"),
+        F.when(x["number"] == "full", "Full Filing").otherwise("Incorporated Annual Report (MD&A and Financial Statements)").alias("section_name"),
+        x["start"].alias("start"), x["content"].alias("content"),
+    ))
+    return rows.select(key, F.explode(F.concat(named, rest)).alias("s")).select(key, "s.section_id", "s.section_name", "s.start", "s.content")
 
 
 def running_headers(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

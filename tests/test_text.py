@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,7 +105,7 @@ def test_captions_stay_in_their_section(spark):
     rows = [(0, "Net sales by segment follow.", "s", "x"), (1, table, "s", "x"), (2, table, "s", "y"), (3, table, "t", "x")]
     df = spark.createDataFrame(rows, "doc_id long, content string, source_file string, section_id string").withColumn("source", F.lit(None).cast("string")).withColumn("section_name", F.lit(None).cast("string"))
     got = {r["doc_id"]: r for r in chunking.with_captions(df, ["doc_id"]).collect()}
-    assert got[1]["content"].startswith("[Table — preceding text: …sales by segment follow.]\n\n") or got[1]["content"].startswith("[Table — preceding text: …")
+    assert got[1]["content"].startswith("[Table — preceding text: …sales by segment follow.]\n\n")
     assert got[1]["table_context"] and not got[2]["table_context"] and not got[3]["table_context"]
 
 
@@ -136,3 +139,73 @@ def test_greedy_keeps_the_far_end_of_a_chain(spark):
     pairs = vectors.similar_pairs(df, 0.95, rows=2)
     assert sorted(r["pos"] for r in vectors.greedy_drop(df, pairs).collect()) == [0, 2, 3]
     assert sorted(r["pos"] for r in vectors.duplicate_report(pairs).collect()) == [1, 2, 4]
+
+
+def _sections(spark, text, **how):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return {r["section_id"]: r for r in filings.section_spans(df, **how).collect()}
+
+
+def test_sections_of_filings(spark):
+    body = "We design and sell devices in many countries and compete on quality. " * 3
+    text = f"Cover\nItem 1. Business\nItem 1A. Risk Factors\nItem 1. Business overview\n{body}\nPART I\nItem 1. Business\n{body}\nItem 1A. Risk Factors\n{body}\nItem 9. X\n"
+    got = _sections(spark, text)
+    # The longest span counts; what repeats its number is inside it; titles are whole lines; "Item 9. X" has no title and is no header.
+    assert set(got) == {"item_1", "item_1a"}
+    assert got["item_1"]["start"] == text.index("\nItem 1. Business overview") + 1
+    assert got["item_1"]["content"] == f"{body}\nPART I\nItem 1. Business\n{body}".strip()
+    assert got["item_1a"]["content"].endswith("Item 9. X")
+    assert _sections(spark, text, short_titles=True)["item_1"]["content"].startswith("ss overview")
+
+
+def test_sections_of_odd_filings(spark):
+    long = "Provision for credit losses was large. " * 4200
+    assert {k: len(r["content"]) for k, r in _sections(spark, f"Item 7. Management\nsee below\nItem 15. Exhibits\n{long}").items()} == {"incorporated": len(f"Item 7. Management\nsee below\nItem 15. Exhibits\n{long}".strip())}
+    body = "Discussion of the business at length. " * 9
+    got = _sections(spark, f"Item 1. Business\n{body}\nItem 15. Exhibits\n{long}")
+    assert set(got) == {"item_1", "incorporated"} and got["incorporated"]["content"].startswith("Item 15. Exhibits")
+    assert {k: r["content"] for k, r in _sections(spark, "no header here").items()} == {"full": "no header here"}
+    assert _sections(spark, long)["full"]["content"] == long[:100_000]
+    assert {k: r["content"] for k, r in _sections(spark, None).items()} == {"full": ""}
+
+
+def test_cleaning_takes_running_headers(spark):
+    pages = "\n".join(f"{k}\nACME CORP\nStory {k} goes on." for k in range(1, 10))
+    df = spark.createDataFrame([(pages + "\nACME CORP\nends",), (pages.replace("9\nACME", "3\nACME"),), (None,)], "t string")
+    got = [r[0] for r in df.select(T.clean(F.col("t"))).collect()]
+    want = "\n\n".join(f"Story {k} goes on." for k in range(1, 10))
+    assert got == [want + "\nACME CORP\nends", "\n\n".join(f"ACME CORP\nStory {k} goes on." for k in range(1, 10)), None]
+
+
+@pytest.mark.parametrize("query,why", [("\n\n", "empty_input"), ("\t \n", "empty_input"), ("\u00a0", "empty_input"), ("x", "too_short"), ("ok then", None), (None, "empty_input")])
+def test_blank_questions(spark, query, why):
+    assert one(spark, query, guard.violation) == why
+
+
+def test_semantic_segments_of_short_texts(spark):
+    df = spark.createDataFrame([(0, "  no sentence end "), (1, " \n"), (2, "One. Two. Three.")], "doc_id long, text string")
+    got = sorted(map(tuple, chunking.semantic_segments(df, lambda t: vectors.hashed(t, 8)).select("doc_id", "content").collect()))
+    assert got[0] == (0, "  no sentence end ") and {k for k, _ in got} == {0, 2}
+
+
+def test_captions_by_the_name_of_the_section(spark):
+    table = "a | 1\nb | 2\nc | 3"
+    rows = [(0, "Net sales follow here.", "s", "x"), (1, table, "s", "y"), (2, table, "s", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, content string, source_file string, section_name string").withColumn("source", F.lit(None).cast("string"))
+    got = {r["doc_id"]: r["table_context"] for r in chunking.with_captions(df, ["doc_id"]).collect()}
+    assert got == {0: False, 1: False, 2: True}
+
+
+def test_recursive_chunks_cover_the_text():
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice([f"w{k} ", f"longerword{k} ", f"end{k}. ", f"{k}\n", f"{k}\n\n", f"x{k}" * 9]) for k in range(1000, 1000 + rng.randint(0, 120)))
+        chunks = chunking.split_recursively(text, 100, 20)
+        assert all(0 < len(c) <= 100 and c == c.strip() for c in chunks)
+        found = set()
+        for c in chunks:
+            assert c in text
+            found |= set(re.findall(r"\d{4}", c))
+        assert found == set(re.findall(r"\d{4}", text))
+        first = [re.findall(r"\d{4}", c)[:1] for c in chunks]
+        assert [x for x in first if x] == sorted(x for x in first if x)
