@@ -58,6 +58,12 @@ def readable(roles: set[str]) -> set[str] | None:
     return granted - {d for _, _, r, d in BARRIERS if r in roles}
 
 
+def may_read(roles: set[str], department: str) -> bool:
+    """Whether a set of roles may read a department."""
+    allowed = readable(roles)
+    return allowed is None or department in allowed
+
+
 @dataclass(frozen=True)
 class Authorized:
     """A corpus that has been filtered by role."""

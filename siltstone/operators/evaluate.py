@@ -2,32 +2,88 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import expected_tickers, figures, hit_rate
+from .stage import written
+
 # Markers of question types, the first that occurs counts.
 QUESTION_MARKERS = [
     ("total net revenue for its most recent fiscal year", "exact_figure"),
     ("risk factors related to supply chain", "interpretive"),
     ("describe its business segments", "interpretive"),
+    ("total assets and CET1 capital ratio", "exact_figure"),
+    ("primary credit risk factors", "interpretive"),
+    ("describe its lines of business", "interpretive"),
+    ("automotive revenue and total revenue", "exact_figure"),
+    ("related to production and manufacturing", "interpretive"),
+    ("Intelligent Cloud segment", "exact_figure"),
+    ("cybersecurity and AI-related risk factors", "interpretive"),
+    ("principal business segments", "interpretive"),
+    ("market risk disclosures does Goldman Sachs provide including VaR", "exact_figure"),
     ("Compare the risk factor disclosures", "comparative"),
+    ("How do Apple and Microsoft compare", "comparative"),
+    ("regulatory risks do JPMorgan and Goldman Sachs face", "comparative"),
+    ("competition in the electric vehicle market", "interpretive"),
     ("provision for credit losses", "exact_figure"),
+    ("AI strategy and investments", "interpretive"),
+    ("quantitative disclosures about market risk", "exact_figure"),
     ("legal proceedings are disclosed", "interpretive"),
+    ("total revenue and operating income for fiscal year 2025", "exact_figure"),
+    ("spend on research and development in fiscal 2025", "exact_figure"),
+    ("More Personal Computing segment revenue", "exact_figure"),
+    ("gross margin percentage for fiscal 2025", "exact_figure"),
+    ("total operating expenses and net income attributable", "exact_figure"),
+    ("total net revenues and return on average common", "exact_figure"),
+    ("competition in the productivity and business processes", "interpretive"),
+    ("human capital and employee programs", "interpretive"),
+    ("energy generation and storage business", "interpretive"),
+    ("intellectual property and patent protection", "interpretive"),
+    ("dependence on single-source suppliers", "comparative"),
+    ("disclosed research and development priorities", "comparative"),
+    ("capital adequacy positions", "comparative"),
+    ("exposure to foreign currency risk", "comparative"),
+    ("climate and environmental risk disclosures", "comparative"),
+    ("iPhone units did Apple ship", "no_answer"),
     ("average selling price per vehicle", "no_answer"),
+    ("Azure revenue came from its OpenAI partnership", "no_answer"),
+    ("total compensation paid to JPMorgan's chief executive", "no_answer"),
+    ("employees work in Goldman Sachs' Platform Solutions", "no_answer"),
+    ("Netflix's total streaming revenue", "out_of_corpus"),
+    ("did NVIDIA report", "out_of_corpus"),
     ("federal funds rate target range", "out_of_corpus"),
+    ("Berkshire Hathaway describe its insurance float", "out_of_corpus"),
     ("internal trading desk procedures manual", "rbac_blocked"),
+    ("internal AML/KYC procedures manual", "rbac_blocked"),
+    ("internal credit risk management policy", "rbac_blocked"),
+    ("net sales for the Americas region", "rbac_blocked"),
+    ("Apple's revenue last year", "ambiguous"),
+    ("Microsoft's cloud revenue", "ambiguous"),
+    ("Tesla's margin in 2025", "ambiguous"),
     ("total revenue last year", "ambiguous"),
+    ("the bank set aside for credit losses", "ambiguous"),
     ("the company's main risks", "ambiguous"),
 ]
+# Configuration that two runs must share to be compared, and the strata of a summary.
+INCOMPARABLE = ("eval_questions", "judge_model", "judge_provider", "judge_embedding_model")
 
 
 def listing(chunks: DataFrame, order: str = "doc_pos") -> DataFrame:
-    """A row for each source, sorted: first-seen department, ticker, type and date, sections in order of appearance, chunks."""
+    """A row for each source, sorted: first-seen department, ticker, type and date, sections in order of appearance, chunks.
+
+    Chunks are summed up by source and section first, so that what meets is a row for each section.
+    """
     source = F.coalesce("source_file", F.lit("unknown")).alias("source")
-    sections = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("section_name").isNotNull(), F.struct(F.col(order).alias("o"), F.col("section_name").alias("s"))))), lambda x: x["s"]))
-    firsts = [F.min_by(c, order).alias(c) for c in ("department", "ticker", "filing_type", "filing_date")]
-    return chunks.groupBy(source).agg(*firsts, F.count(F.lit(1)).alias("chunks"), sections.alias("sections")).orderBy("source")
+    names = ("department", "ticker", "filing_type", "filing_date")
+    each = chunks.groupBy(source, "section_name").agg(F.min(F.struct(F.col(order).alias("o"), *names)).alias("first"), F.count(F.lit(1)).alias("n"))
+    sections = F.transform(F.array_sort(F.collect_list(F.when(F.col("section_name").isNotNull(), F.struct(F.col("first.o").alias("o"), F.col("section_name").alias("s"))))), lambda x: x["s"])
+    out = each.groupBy("source").agg(F.min("first").alias("first"), F.sum("n").alias("chunks"), sections.alias("sections"))
+    return out.select("source", *[F.col(f"first.{c}").alias(c) for c in names], "chunks", "sections").orderBy("source")
 
 
 def sections_of(chunks: DataFrame) -> DataFrame:
@@ -37,13 +93,17 @@ def sections_of(chunks: DataFrame) -> DataFrame:
 def fingerprint(chunks: DataFrame, content: str = "content") -> DataFrame:
     """(chunk_count, digest): the first 16 digits of the SHA-256 of all sorted chunk hashes.
 
-    The hashes are sorted and joined in ranges of their first three digits, so that at most 1/4096 of
-    them meets at once; the ranges' joined hashes are what the digest reads, as one string.
+    The hashes are sorted in ranges of their first digits, of some ten thousand each; the digest
+    reads one range after the other, so that neither a task nor the driver holds more than a few.
     """
     each = chunks.select(F.sha2(F.coalesce(content, F.lit("")), 256).alias("h"))
-    parts = each.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("s"), F.count(F.lit(1)).alias("n"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), "")
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunk_count"), F.substring(F.sha2(joined, 256), 1, 16).alias("digest"))
+    n = each.count()
+    digits = max(1, math.ceil(math.log(max(n, 1) / 10_000 + 1, 16)))
+    parts = each.groupBy(F.substring("h", 1, digits).alias("p")).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("s")).orderBy("p")
+    digest = hashlib.sha256()
+    for r in parts.select("s").toLocalIterator():
+        digest.update(r["s"].encode())
+    return chunks.sparkSession.createDataFrame([(n, digest.hexdigest()[:16])], "chunk_count long, digest string")
 
 
 def means(df: DataFrame, metrics: list[str], by: Column | None = None) -> DataFrame:
@@ -80,17 +140,25 @@ def moved(a: DataFrame, b: DataFrame, k: int, key: str = "question", value: str
 def calibration(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(label, n, least, median, most) of known scores; the median of an even number is the upper one."""
     known = df.filter(F.col(score).isNotNull())
-    place = F.row_number().over(Window.partitionBy(label).orderBy(score)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    at = known.withColumn("place", place).withColumn("n", n)
-    return at.groupBy(label).agg(F.max("n").alias("n"), F.min(score).alias("least"), F.max(F.when(F.col("place") == F.floor(F.col("n") / 2), F.col(score))).alias("median"), F.max(score).alias("most"))
+    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{score}` DESC)")
+    return known.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(score).alias("least"), median.alias("median"), F.max(score).alias("most"))
 
 
 def thresholds(df: DataFrame, inside: str, outside: str, label: str = "label", score: str = "score") -> DataFrame:
-    """For each score as a threshold: known rows of `inside` below it and of `outside` at or above it, by running sums."""
+    """For each score as a threshold: known rows of `inside` below it and of `outside` at or above it.
+
+    Running sums within ranges of scores, and over the ranges' totals, of which there are as many as tasks.
+    """
     counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == inside).alias("i"), F.count_if(F.col(label) == outside).alias("o"))
-    line = Window.orderBy("threshold")
-    return counts.select("threshold", F.coalesce(F.sum("i").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("refused"), F.sum("o").over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("admitted"))
+    parts = written(counts.repartitionByRange("threshold").withColumn("part", F.spark_partition_id()), "thresholds")
+    ranges = Window.orderBy("part")
+    below = F.sum("i").over(ranges.rowsBetween(Window.unboundedPreceding, -1))
+    above = F.sum("o").over(ranges.rowsBetween(1, Window.unboundedFollowing))
+    totals = parts.groupBy("part").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).select("part", F.coalesce(below, F.lit(0)).alias("below"), F.coalesce(above, F.lit(0)).alias("above"))
+    line = Window.partitionBy("part").orderBy("threshold")
+    refused = F.coalesce(F.sum("i").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    admitted = F.sum("o").over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return parts.join(F.broadcast(totals), "part").select("threshold", (F.col("below") + refused).alias("refused"), (F.col("above") + admitted).alias("admitted"))
 
 
 def keyword_overlap(truth: Column, answer: Column) -> Column:
@@ -117,10 +185,104 @@ def by_question(questions: DataFrame, *scores: DataFrame, key: str = "question_n
     return questions
 
 
-def contains_evidence(probes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """probes (probe_id, ticker, evidence) with found: whether some chunk of the ticker holds the evidence in any case."""
-    hit = probes.join(chunks.select("ticker", "content"), "ticker").filter(F.contains(F.lower("content"), F.lower("evidence"))).select("probe_id").distinct().withColumn("found", F.lit(True))
-    return probes.join(hit, "probe_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+def contains_evidence(probes: DataFrame, chunks: DataFrame, key: str = "doc_pos") -> DataFrame:
+    """probes (probe_id, ticker, evidence) with found: whether some chunk (key, ticker, content) holds the evidence in any case.
+
+    Evidence stands only in chunks that hold its longest inner word; only short evidence, without one,
+    is looked for in every chunk of its ticker.
+    """
+    words = lambda x: F.split(F.lower(x), "[^a-z0-9]+")
+    inner = F.filter(F.slice(words(F.col("evidence")), F.lit(2), F.greatest(F.size(words(F.col("evidence"))) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    asked = probes.withColumn("_word", longest["w"])
+    held = chunks.select(key, "ticker", F.explode(F.array_distinct(words(F.col("content")))).alias("_word"))
+    near = held.join(asked.filter(F.col("_word").isNotNull()).select("probe_id", "ticker", "_word", "evidence"), ["ticker", "_word"]).select(key, "probe_id", "evidence")
+    far = asked.filter(F.col("_word").isNull()).join(chunks.select(key, "ticker"), "ticker").select(key, "probe_id", "evidence")
+    hit = near.unionByName(far).join(chunks.select(key, "content"), key).filter(F.contains(F.lower("content"), F.lower("evidence")))
+    return probes.join(hit.select("probe_id").distinct().withColumn("found", F.lit(True)), "probe_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def basic_evaluation(rows: DataFrame) -> DataFrame:
+    """One row for results (answer, contexts, ground_truth): questions, those with contexts, answers of over 20 characters, mean overlap of those with a truth."""
+    words = F.filter(F.split(F.lower("ground_truth"), r"\s+"), lambda w: w != "")
+    return rows.agg(
+        F.count(F.lit(1)).alias("questions_evaluated"),
+        F.count_if(F.size("contexts") > 0).alias("answers_with_context"),
+        F.count_if(F.length("answer") > 20).alias("non_empty_answers"),
+        F.avg(F.when(F.size(words) > 0, keyword_overlap(F.col("ground_truth"), F.coalesce("answer", F.lit(""))))).alias("avg_keyword_overlap"),
+    )
+
+
+def stratum_counts(questions: DataFrame, question: str = "question") -> DataFrame:
+    """(question_type, n, unmatched): how many questions are of each type; those of none are listed in a row without a type."""
+    typed = questions.select(F.col(question).alias("q"), question_type(F.col(question)).alias("question_type"))
+    return typed.groupBy("question_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("question_type").isNull(), F.col("q")))).alias("unmatched"))
+
+
+def strata_over_runs(rows: DataFrame) -> DataFrame:
+    """(question_type, n, faithfulness, refusal_correctness) of rows (run, question_type and both): questions a run, and means of what is known over all runs."""
+    runs = rows.select("run").distinct().count()
+    each = rows.filter(F.col("question_type").isNotNull()).groupBy("question_type").agg(F.count(F.lit(1)).alias("all"), F.avg("faithfulness").alias("faithfulness"), F.avg("refusal_correctness").alias("refusal_correctness"))
+    return each.select("question_type", F.floor(F.col("all") / max(1, runs)).alias("n"), "faithfulness", "refusal_correctness")
+
+
+def free_retrieval(questions: DataFrame, hits: DataFrame, gate: float) -> DataFrame:
+    """Retrieval judged without a model, a row for each question that expects an answer.
+
+    questions: query_id, question_type, source_filing, ground_truth, expected_behavior (null: answer).
+    hits: query_id, rank, content, ticker, relevance. hit_rate is the share of the truth's figures
+    that the passages hold, entity_purity the share of passages of an expected company; either is null
+    where there is nothing to find.
+    """
+    asked = questions.filter(F.coalesce("expected_behavior", F.lit("answer")) == "answer").withColumn("expected_tickers", expected_tickers(F.coalesce("source_filing", F.lit(""))))
+    line = F.array_sort(F.collect_list(F.struct("rank", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("ticker", F.lit("")).alias("ticker"))))
+    found = hits.groupBy("query_id").agg(line.alias("l"), (0.6 * F.max("relevance") + 0.4 * F.avg("relevance")).alias("confidence"))
+    out = asked.join(found, "query_id", "left")
+    blob = F.coalesce(F.array_join(F.transform("l", lambda x: x["content"]), "\n"), F.lit(""))
+    wanted = F.size(figures(F.col("ground_truth")))
+    rate = hit_rate(F.col("ground_truth"), blob)
+    pure = F.size(F.filter("l", lambda x: F.array_contains("expected_tickers", x["ticker"]))) / F.size("l")
+    return out.select(
+        "query_id", "question_type", "expected_tickers", wanted.alias("figures_wanted"), F.coalesce(F.round(rate * wanted), F.lit(0)).cast("int").alias("figures_found"), rate.alias("hit_rate"),
+        F.when((F.size("l") > 0) & (F.size("expected_tickers") > 0), pure).alias("entity_purity"), "confidence", F.coalesce(F.col("confidence") < gate, F.lit(False)).alias("gate_fires"),
+    )
+
+
+def free_retrieval_by(rows: DataFrame, company: bool = False) -> DataFrame:
+    """(grp, n, hit_rate, entity_purity, gate_fires) of free_retrieval()'s rows by stratum, or by each company that is expected."""
+    grp = F.explode("expected_tickers") if company else F.coalesce("question_type", F.lit("untyped"))
+    return rows.select(grp.alias("grp"), "hit_rate", "entity_purity", "gate_fires").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("hit_rate").alias("hit_rate"), F.avg("entity_purity").alias("entity_purity"), F.count_if("gate_fires").alias("gate_fires"))
+
+
+def judged(results: DataFrame, scores: DataFrame, metrics: list[str], key: str = "question_no") -> tuple[DataFrame, DataFrame]:
+    """The means with numbers of a judge's metrics, and a row for each question with its own.
+
+    results: key, question, expected_behavior, error (null: none). scores: key, question and metrics of
+    the questions that were sent to the judge: those that expect an answer and raised no error. A score
+    that isn't a number is unknown. Raises ValueError where a score names another question than its key.
+    """
+    sent = results.filter((F.coalesce("expected_behavior", F.lit("answer")) == "answer") & F.col("error").isNull()).select(key, "question")
+    got = scores.select(key, F.col("question").alias("_asked"), *[F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double")).alias(m) for m in metrics])
+    both = sent.join(got, key, "left")
+    if both.filter(F.trim("_asked") != F.trim("question")).limit(1).count():
+        raise ValueError("the judge's rows are out of order")
+    each = results.select(key).join(both.drop("question", "_asked"), key, "left")
+    return means(each, metrics), each
+
+
+def check_comparable(a: dict, b: dict, corpus_a=None, corpus_b=None, force: bool = False) -> list[str]:
+    """What makes two runs' configurations incomparable; raises ValueError with it unless forced."""
+    problems = [f"different corpus: {corpus_a} vs {corpus_b}"] if corpus_a != corpus_b else []
+    problems += [f"different {k}: {a.get(k)!r} vs {b.get(k)!r}" for k in INCOMPARABLE if a.get(k) != b.get(k)]
+    if problems and not force:
+        raise ValueError("these runs are not comparable: " + "; ".join(problems))
+    return problems
+
+
+def config_delta(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(key, a, b) of two configurations (key, value) where they differ; null where one lacks the key."""
+    x, y = a.select("key", F.col("value").alias("a")), b.select("key", F.col("value").alias("b"))
+    return x.join(y, "key", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("key", "a", "b")
 
 
 def weight_ratio(dense: float, sparse: float) -> str:

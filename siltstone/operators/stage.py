@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read back, so that what follows neither repeats nor loses it."""
+    """df written as Parquet under spark.checkpoint.dir and read back, so that what follows neither repeats nor loses it.
+
+    Only a local session may lack that setting; it gets a temporary folder.
+    """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
