@@ -14,9 +14,12 @@ from ..config import DEFAULTS, Settings
 from ..functions.answers import relevance
 from ..functions.text import tokens
 from .access import Authorized
+from .stage import written
 
 #: Scores are compared as rounded to so many digits, so that the order of a sum can't turn a tie.
 DIGITS = 9
+#: Scores that a task holds at a time.
+SCORES = 4_000_000
 
 
 def ranked(df: DataFrame, by: list[Column], k: int | None, of: list[str] | None = None) -> DataFrame:
@@ -30,20 +33,21 @@ def _best(score: str = "score") -> Column:
 
 
 class Bm25:
-    """Postings and statistics of a corpus that has been filtered by role: other rights, other statistics.
+    """Statistics of a corpus that has been filtered by role: other rights, other statistics.
 
     corpus: doc_pos (its order, which breaks ties), passage, and optionally scopes (array<string>):
-    the further filters a row passes, each with statistics of its own.
+    the further filters a row passes, each with statistics of its own. Passages are tokenised once;
+    frequencies and sizes are small tables, kept for all searches of this corpus, and postings are
+    made of the tokens that a search asks for.
     """
 
     def __init__(self, corpus: Authorized, settings: Settings = DEFAULTS):
         self.settings = settings
         df = corpus.df if "scopes" in corpus.df.columns else corpus.df.withColumn("scopes", F.array(F.lit("")))
-        terms = df.select("doc_pos", F.explode("scopes").alias("scope"), tokens(F.col("passage")).alias("t"))
-        each = terms.select("scope", "doc_pos", F.size("t").alias("dl"), F.explode("t").alias("token"))
-        self.postings = each.groupBy("token", "scope", "doc_pos", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        self.frequency = self.postings.groupBy("token", "scope").agg(F.count(F.lit(1)).alias("df"))
-        self.size = terms.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
+        self.terms = written(df.select("doc_pos", "scopes", tokens(F.col("passage")).alias("t")), "bm25-terms")
+        each = self.terms.select("t", F.explode("scopes").alias("scope"))
+        self.frequency = written(each.select("scope", F.explode(F.array_distinct("t")).alias("token")).groupBy("token", "scope").agg(F.count(F.lit(1)).alias("df")), "bm25-frequency")
+        self.size = written(each.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl")), "bm25-size")
 
     def idf(self) -> DataFrame:
         """(token, scope, idf); a negative one becomes epsilon times the mean over the scope's vocabulary."""
@@ -51,14 +55,21 @@ class Bm25:
         mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
         return raw.join(mean, "scope").select("token", "scope", F.when(F.col("raw") < 0, self.settings.bm25_epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
+    def postings(self, asked: DataFrame) -> DataFrame:
+        """(token, scope, doc_pos, dl, tf) of the tokens asked for (token)."""
+        each = self.terms.select("doc_pos", "scopes", F.size("t").alias("dl"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+        counted = each.groupBy("token", "doc_pos", "dl", "scopes").agg(F.count(F.lit(1)).alias("tf"))
+        return counted.select("token", F.explode("scopes").alias("scope"), "doc_pos", "dl", "tf")
+
     def search(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, scope, doc_pos, score, rank) of questions (query_id, query, and scope where there are any): every document with a token of the question takes part."""
         s = self.settings
         if "scope" not in questions.columns:
             questions = questions.withColumn("scope", F.lit(""))
         asked = questions.select("query_id", "scope", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "scope", "token").agg(F.count(F.lit(1)).alias("times"))
+        asked = written(asked, "bm25-asked")
         weight = asked.join(self.idf(), ["token", "scope"])
-        hits = self.postings.join(weight, ["token", "scope"]).join(self.size.select("scope", "avgdl"), "scope")
+        hits = self.postings(asked).join(weight, ["token", "scope"]).join(self.size.select("scope", "avgdl"), "scope")
         part = F.col("times") * F.col("idf") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl")))
         scored = hits.groupBy("query_id", "scope", "doc_pos").agg(F.sum(part).alias("score"))
         return ranked(scored, [_best(), F.asc("doc_pos")], k, ["query_id", "scope"])
@@ -77,18 +88,21 @@ def normalised(v: Column) -> Column:
 def dense(corpus: Authorized, queries: DataFrame, k: int, settings: Settings = DEFAULTS) -> DataFrame:
     """(query_id, doc_pos, score, rank): exact cosine top-k of queries (query_id, vector) over the corpus (doc_pos, vector).
 
-    The questions are a batch of checked size: up to broadcast_rows they meet the corpus in blocks of
-    matrix products where its rows lie, and only each block's k best leave; a larger batch is cut up.
+    The questions are a batch of checked size: up to broadcast_rows numbers they meet the corpus where
+    its rows lie; a larger batch is cut up. A task holds SCORES scores at a time, and only the k best
+    of each of its blocks leave it.
     """
-    n = queries.count()
-    if n > settings.broadcast_rows:
-        parts = -(-n // settings.broadcast_rows)
+    first = queries.select("vector").first()
+    width = len(first[0]) if first and first[0] is not None else 1
+    n, most = queries.count(), max(1, settings.broadcast_rows * 64 // max(1, width))
+    if n > most:
+        parts = -(-n // most)
         part = F.pmod(F.xxhash64("query_id"), parts)
         out = dense(corpus, queries.filter(part == 0), k, settings)
         for p in range(1, parts):
             out = out.unionByName(dense(corpus, queries.filter(part == p), k, settings))
-        return out
-    rows = queries.select("query_id", normalised(F.col("vector")).alias("v")).orderBy("query_id").collect()
+        return ranked(out.drop("rank"), [_best(), F.asc("doc_pos")], k)
+    rows = queries.select("query_id", normalised(F.col("vector")).alias("v")).orderBy("query_id").collect()  # up to broadcast_rows vectors of 64 numbers
     kind = queries.schema["query_id"].dataType.simpleString()
     ids = [r[0] for r in rows]
     matrix = queries.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1))
@@ -100,9 +114,12 @@ def dense(corpus: Authorized, queries: DataFrame, k: int, settings: Settings = D
             pdf = pdf.sort_values("doc_pos", kind="stable")
             v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
             length = np.linalg.norm(v, axis=1, keepdims=True)
-            score = matrix.value @ (v / np.where(length > 0, length, 1)).T
-            best = np.argsort(-np.round(score, DIGITS), axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=object), best.shape[1]), "doc_pos": pdf["doc_pos"].to_numpy()[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+            v = (v / np.where(length > 0, length, 1)).T
+            step = max(1, SCORES // v.shape[1])
+            for a in range(0, len(ids), step):
+                score = matrix.value[a : a + step] @ v
+                best = np.argsort(-np.round(score, DIGITS), axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(np.array(ids[a : a + step], dtype=object), best.shape[1]), "doc_pos": pdf["doc_pos"].to_numpy()[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
 
     found = corpus.df.select("doc_pos", "vector").mapInPandas(block, f"query_id {kind}, doc_pos long, score double")
     return ranked(found, [_best(), F.asc("doc_pos")], k)

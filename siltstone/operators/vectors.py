@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,19 +17,25 @@ from .stage import written
 BLOCK_ROWS = 2048
 
 
+@lru_cache(maxsize=200_000)
+def _place(word: str) -> int:
+    """The first 32 bits of a word's MD5, remembered for the words met last."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 @cache
 def _hasher(size: int):
     token = re.compile(TOKEN)
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.bincount([zlib.crc32(w.encode()) % size for w in token.findall((t or "").lower())], minlength=size).astype(np.float32))
+        return texts.map(lambda t: np.bincount([_place(w) % size for w in token.findall((t or "").lower())], minlength=size).astype(np.float32))
 
     return run
 
 
 def hashed(text: Column, size: int = 64) -> Column:
-    """The default embedding, standing where a model would: counts of tokens by CRC-32, not yet normalised."""
+    """The default embedding, standing where a model would: counts of tokens by the first 32 bits of their MD5, not yet normalised."""
     return _hasher(size)(text)
 
 
@@ -38,6 +44,29 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(length > 0, length, 1)
 
 
+def _meet(threshold: float, same: bool):
+    """The rows of one block of either side against each other: (later, earlier, score), or (pos, other, score) of two tables."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        sides = ("own", a, b) if same else ("side", 0, 1)
+        left, right = pdf[pdf[sides[0]] == sides[1]], pdf[pdf[sides[0]] == sides[2]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"x": [], "y": [], "score": []}).astype({"x": "int64", "y": "int64", "score": "float64"})
+        x, y = (_unit(np.stack(part["vector"].to_numpy()).astype(np.float64)) for part in (left, right))
+        p, q = left["pos"].to_numpy(), right["pos"].to_numpy()
+        s = x @ y.T
+        near = s >= threshold
+        if same:
+            near &= (p[:, None] < q[None, :]) if a == b else (p[:, None] != q[None, :])
+        i, j = np.nonzero(near)
+        if not same:
+            return pd.DataFrame({"x": p[i], "y": q[j], "score": s[i, j]})
+        return pd.DataFrame({"x": np.maximum(p[i], q[j]), "y": np.minimum(p[i], q[j]), "score": s[i, j]})
+
+    return run
+
+
 def similar_pairs(df: DataFrame, threshold: float, pos: str = "pos", vector: str = "vector", rows: int = BLOCK_ROWS) -> DataFrame:
     """(later, earlier, score) of every two rows whose cosine is at least the threshold: exact.
 
@@ -49,19 +78,14 @@ def similar_pairs(df: DataFrame, threshold: float, pos: str = "pos", vector: str
     base = df.select(F.col(pos).alias("pos"), F.col(vector).alias("vector"), own.alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     sent = base.select("pos", "vector", "own", other).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    return sent.groupBy("a", "b").applyInPandas(_meet(threshold, True), "x long, y long, score double").toDF("later", "earlier", "score")
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        left, right = pdf[pdf["own"] == a], pdf[pdf["own"] == b]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"later": [], "earlier": [], "score": []}).astype({"later": "int64", "earlier": "int64", "score": "float64"})
-        x, y = (_unit(np.stack(part["vector"].to_numpy()).astype(np.float64)) for part in (left, right))
-        p, q = left["pos"].to_numpy(), right["pos"].to_numpy()
-        s = x @ y.T
-        i, j = np.nonzero((s >= threshold) & ((p[:, None] < q[None, :]) if a == b else (p[:, None] != q[None, :])))
-        return pd.DataFrame({"later": np.maximum(p[i], q[j]), "earlier": np.minimum(p[i], q[j]), "score": s[i, j]})
 
-    return sent.groupBy("a", "b").applyInPandas(meet, "later long, earlier long, score double")
+def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, copies, first_id): how many rows have the same text, and the smallest key among them."""
+    rows = df.select(key, F.sha2(text, 256).alias("h"))
+    each = rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first_id"))
+    return rows.join(each, "h").select(key, "copies", "first_id")
 
 
 def duplicate_report(pairs: DataFrame) -> DataFrame:
@@ -98,8 +122,17 @@ def greedy_drop(df: DataFrame, pairs: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def against_index(batch: DataFrame, index: DataFrame, threshold: float, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(pos, best): rows of the batch whose cosine with some indexed vector reaches the threshold."""
-    marked = batch.select((F.col("pos") * 2).alias("pos"), "vector").unionByName(index.select((F.col("pos") * 2 + 1).alias("pos"), "vector"))
-    hit = similar_pairs(marked, threshold, rows=rows).filter(F.col("later") % 2 != F.col("earlier") % 2)
-    own = F.when(F.col("later") % 2 == 0, F.col("later")).otherwise(F.col("earlier"))
-    return hit.groupBy((own / 2).cast("long").alias("pos")).agg(F.max("score").alias("best"))
+    """(pos, best): rows of the batch whose cosine with some indexed vector reaches the threshold.
+
+    Blocks of the batch meet blocks of the index, and nothing else: a row of the index is sent once
+    for each block of the batch.
+    """
+    na, nb = (max(1, -(-df.count() // rows)) for df in (batch, index))
+
+    def sent(df: DataFrame, side: int, own: str, n: int, other: str, m: int) -> DataFrame:
+        spread = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+        return df.select("pos", "vector", F.lit(side).alias("side"), F.pmod(F.xxhash64("pos"), F.lit(n)).cast("int").alias(own), spread)
+
+    both = sent(batch, 0, "a", na, "b", nb).unionByName(sent(index, 1, "b", nb, "a", na))
+    hit = both.groupBy("a", "b").applyInPandas(_meet(threshold, False), "x long, y long, score double")
+    return hit.groupBy(F.col("x").alias("pos")).agg(F.max("score").alias("best"))
