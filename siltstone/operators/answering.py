@@ -10,10 +10,15 @@ from ..config import DEFAULTS, Settings
 from ..functions import answers as A
 from ..functions.entities import is_ambiguous
 from ..functions.text import describe, sentences, stripped
+from .stage import written
 
+# Marks of citations and of list items.
 CITATION = r"\[\s*(?:Document\s+)?(\d+(?:\s*,\s*\d+)*)\s*\]"
 BULLET = r"(?U)^\s*(?:[-*•–]|\d+[.)])\s+"
 
+#: Stands between the blocks of a context.
+BETWEEN = "\n\n---\n\n"
+
 
 def context_block(rank: Column, row: dict[str, Column], content: Column) -> Column:
     """`[n] (Source: ..., ...)` and the text. row: columns by label, the first two always shown."""
@@ -22,10 +27,15 @@ def context_block(rank: Column, row: dict[str, Column], content: Column) -> Colu
     return F.concat(F.lit("["), rank.cast("string"), F.lit("] ("), F.concat_ws(", ", *shown), F.lit(")\n"), content)
 
 
+def sources(hits: DataFrame, chars: int = 200) -> DataFrame:
+    """hits as an answer shows them: the first characters of the content, and source, the file that it is from."""
+    return hits.withColumns({"content": F.substring("content", 1, chars), "source": F.coalesce("source_file", F.lit("unknown"))})
+
+
 def contexts(blocks: DataFrame) -> DataFrame:
     """(query_id, context): each question's blocks (query_id, rank, block) in order."""
     line = F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"])
-    return blocks.groupBy("query_id").agg(F.array_join(line, "\n\n---\n\n").alias("context"))
+    return blocks.groupBy("query_id").agg(F.array_join(line, BETWEEN).alias("context"))
 
 
 def claims(df: DataFrame, key: str = "query_id", answer: str = "answer", documents: str = "documents") -> DataFrame:
@@ -117,27 +127,39 @@ def rendered(summary: Column, searched: Column, suggested: Column) -> Column:
     return F.concat_ws("\n", summary, listed("Passages consulted:", searched), listed("Worth checking manually:", suggested))
 
 
-def extract_answer(question: Column, content: Column) -> Column:
-    """The default generator: the best block's first sentence, cited."""
-    first = F.get(sentences(content), F.lit(0))
+def numbered(hits: DataFrame) -> DataFrame:
+    """(query_id, context, documents): each question's passages as numbered blocks with their provenance, in order of rank, and how many there are."""
+    has = lambda name: F.col(name) if name in hits.columns else F.lit(None).cast("string")
+    labels = {"Source": has("source_file"), "Department": has("department"), "Company": has("ticker"), "Filing": has("filing_type"), "Section": has("section_name"), "Date": has("filing_date")}
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    blocks = hits.withColumn("rank", place).select("query_id", "rank", context_block(F.col("rank"), labels, F.col("content")).alias("block"))
+    depth = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"))
+    return contexts(blocks).join(depth, "query_id")
+
+
+def extract_answer(question: Column, context: Column) -> Column:
+    """The default generator: the first block's first sentence, cited."""
+    block = F.regexp_replace(F.get(F.split(context, r"\n\n---\n\n(?=\[\d+\] \()"), F.lit(0)), r"^\[1\] \([^\n]*\)\n", "")
+    first = F.get(sentences(block), F.lit(0))
     return F.when(first.isNotNull(), F.concat(first, F.lit(" [1]"))).otherwise(F.lit("I don't have enough information in the available documents to answer this question."))
 
 
-def grounded(questions: DataFrame, hits: DataFrame, generate=extract_answer, settings: Settings = DEFAULTS) -> DataFrame:
-    """(query_id, status, answer, retrieval, coverage, completeness, confidence, label) of questions (query_id, query).
+def grounded(questions: DataFrame, hits: DataFrame, generate=extract_answer, settings: Settings = DEFAULTS, judge=None) -> DataFrame:
+    """(query_id, status, answer, retrieval, coverage, completeness, accuracy, confidence, label) of questions (query_id, query).
 
     Ambiguous questions and those whose retrieval confidence is below the gate are split off before
-    the generator, which never sees them; an unknown retrieval confidence passes the gate.
+    the generator, which never sees them; an unknown retrieval confidence passes the gate. The
+    generator reads the question and all its passages as numbered blocks. With a judge each citation
+    is held against its block, and accuracy is the mean worth of the verdicts; without one, or without
+    citations, it is null.
     """
     rated = questions.join(retrieval_confidence(hits), "query_id", "left")
     state = F.when(is_ambiguous(F.col("query")), "ambiguous_entity").when(F.col("retrieval") < settings.gate, "low_retrieval_confidence").otherwise("open")
     rated = rated.withColumn("status", state)
     shut = rated.filter("status != 'open'").select("query_id", "status", F.lit(None).cast("string").alias("answer"), "retrieval", F.lit(0).cast("long").alias("documents"))
-    best = hits.filter("rank = 1").select("query_id", "content")
-    depth = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"))
-    open_ = rated.filter("status = 'open'").join(best, "query_id", "left").join(depth, "query_id", "left")
-    answered = open_.select("query_id", "status", generate(F.col("query"), F.col("content")).alias("answer"), "retrieval", F.coalesce("documents", F.lit(0)).alias("documents"))
-    both = answered.unionByName(shut)
+    open_ = rated.filter("status = 'open'").join(numbered(hits), "query_id", "left")
+    answered = open_.select("query_id", "status", generate(F.col("query"), F.coalesce("context", F.lit(""))).alias("answer"), "retrieval", F.coalesce("documents", F.lit(0)).alias("documents"))
+    both = written(answered, "generated").unionByName(shut)  # written, so that a generator is asked once
     found = claims(both.withColumn("answer", F.coalesce("answer", F.lit(""))))
     scored = both.join(coverage(found, both), "query_id")
     complete = F.when(F.col("answer").isNull(), 0.0).otherwise(A.completeness(F.col("answer"), F.col("claims"), F.col("cited")))
@@ -145,16 +167,34 @@ def grounded(questions: DataFrame, hits: DataFrame, generate=extract_answer, set
     refused = A.is_refusal(F.col("answer")) & (F.col("cited") == 0)
     scored = scored.withColumn("status", F.when((F.col("status") == "open") & refused, "model_refused").when(F.col("status") == "open", "answered").otherwise(F.col("status")))
     scored = scored.withColumn("confidence", A.confidence(F.col("retrieval"), F.col("coverage"), F.col("completeness")))
-    return scored.select("query_id", "status", "answer", "retrieval", "coverage", "completeness", "confidence", A.label(F.col("confidence"), F.col("coverage"), F.col("completeness")).alias("label"))
+    if judge is None:
+        scored = scored.withColumn("accuracy", F.lit(None).cast("double"))
+    else:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        verdicts = verified(found, hits.select("query_id", place.alias("rank"), "content"), judge)
+        scored = scored.join(accuracy(verdicts).select("query_id", "accuracy"), "query_id", "left")
+    return scored.select("query_id", "status", "answer", "retrieval", "coverage", "completeness", "accuracy", "confidence", A.label(F.col("confidence"), F.col("coverage"), F.col("completeness")).alias("label"))
 
 
-def retried(rows: DataFrame, search, generate=extract_answer, turns: int = 2) -> DataFrame:
-    """Up to `turns` more attempts at questions that the model refused, each with what `search` finds; what stays refused stays as it was."""
-    done = rows.filter("status != 'model_refused'")
-    left = rows.filter("status = 'model_refused'")
+def retried(rows: DataFrame, questions: DataFrame, search, generate=extract_answer, turns: int = 2, settings: Settings = DEFAULTS, judge=None) -> DataFrame:
+    """rows of grounded() with attempts: up to `turns` more at questions that the model refused.
+
+    search(questions, turn) finds other passages for what is left, within the asker's rights; an answer
+    is rated against the passages it was made from, but keeps the first retrieval's confidence. What is
+    refused to the end stays as it was first.
+    """
+    rows = written(rows.withColumn("attempts", F.lit(1)), "attempt")
+    done, refused = rows.filter("status != 'model_refused'"), rows.filter("status = 'model_refused'")
     for turn in range(turns):
-        more = left.drop("status", "answer").join(search(left.select("query_id"), turn), "query_id", "left")
-        tried = more.withColumn("answer", generate(F.lit(""), F.col("content"))).withColumn("status", F.when(A.is_refusal(F.col("answer")), "model_refused").otherwise("answered")).drop("content")
-        done = done.unionByName(tried.filter("status = 'answered'"), allowMissingColumns=True)
-        left = tried.filter("status = 'model_refused'")
-    return done.unionByName(left, allowMissingColumns=True)
+        left = questions.join(refused.select("query_id"), "query_id", "left_semi")
+        if not left.limit(1).count():
+            break
+        hits = written(search(left, turn), "retry")
+        tried = grounded(left, hits, generate, settings, judge).filter("status = 'answered'")
+        first = refused.select("query_id", F.col("retrieval").alias("_first"))
+        overall = A.confidence(F.col("_first"), F.col("coverage"), F.col("completeness"))
+        tried = tried.join(first, "query_id").withColumn("retrieval", F.col("_first")).withColumn("confidence", overall).withColumn("label", A.label(overall, F.col("coverage"), F.col("completeness")))
+        tried = written(tried.drop("_first").withColumn("attempts", F.lit(turn + 2)), "attempt")
+        done = done.unionByName(tried)
+        refused = refused.join(tried.select("query_id"), "query_id", "left_anti")
+    return done.unionByName(refused)

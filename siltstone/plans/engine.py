@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import entities, guard
-from ..functions.text import passage
+from ..functions.answers import relevance
+from ..functions.text import passage, stripped
 from ..operators import access, answering, evaluate, rank
 from ..operators.stage import written
 
@@ -18,8 +19,9 @@ from ..operators.stage import written
 class Engine:
     """Questions against a corpus (doc_pos, content, department, ticker, section_name, vector and provenance).
 
-    embed, scorer, generate, judge and rewrite stand where models do; the defaults are deterministic
-    expressions.
+    embed, scorer, generate, judge, rewrite and rephrase stand where models do; the defaults are
+    deterministic expressions. generate reads the question and all its numbered blocks; judge is asked
+    where verification is; rephrase words a refused question anew for another search.
     """
 
     corpus: DataFrame
@@ -28,6 +30,7 @@ class Engine:
     generate: object = staticmethod(answering.extract_answer)
     judge: object = staticmethod(answering.overlap_judge)
     rewrite: object = None
+    rephrase: object = None
     settings: Settings = field(default_factory=lambda: DEFAULTS)
 
     def screened(self, questions: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ class Engine:
         wide = self.settings.candidate_k if reranked else k
         allowed = access.authorized(self.corpus, roles, extra)
         text = passage(F.col("ticker"), F.col("section_name"), F.col("content"))
-        searched = questions if self.rewrite is None else questions.withColumn("query", self.rewrite(F.col("query")))
+        searched = questions if self.rewrite is None else questions.withColumn("query", self._rewritten(F.col("query")))
         lexical = lambda: rank.Bm25(access.Authorized(allowed.df.select("doc_pos", text.alias("passage"))), self.settings).search(searched, wide)
 
         def dense():
@@ -51,18 +54,29 @@ class Engine:
             return rank.dense(access.Authorized(allowed.df.select("doc_pos", self.embed(F.col("content")).alias("vector"))), queries, wide, self.settings)
 
         if mode == "lexical":
-            hits = lexical().select("query_id", "doc_pos")
+            hits = lexical().select("query_id", "doc_pos", "rank", "score", F.lit("bm25").alias("score_type"))
         elif mode == "dense":
-            hits = dense().select("query_id", "doc_pos")
+            hits = dense().select("query_id", "doc_pos", "rank", "score", F.lit("cosine_relevance").alias("score_type"))
         elif mode == "hybrid":
             fused = rank.hybrid(dense(), lexical(), allowed.df.select("doc_pos", "content"), wide, self.settings)
-            hits = fused.select("query_id", "content").join(allowed.df.groupBy("content").agg(F.min("doc_pos").alias("doc_pos")), "content").select("query_id", "doc_pos")
+            first = allowed.df.groupBy("content").agg(F.min("doc_pos").alias("doc_pos"))
+            hits = fused.join(first, "content").select("query_id", "doc_pos", "rank", "score", "score_type")
         else:
             raise ValueError(f"unknown retrieval mode: {mode}")
         found = hits.join(questions.select("query_id", "query"), "query_id").join(allowed.df, "doc_pos").withColumn("passage", text)
-        best = rank.rerank(found, k, self.scorer)
+        if reranked:
+            # The first ranking's score stays beside the pair score that replaces it.
+            found = found.withColumnsRenamed({"score": "first_score", "score_type": "first_type"})
+            best = rank.rerank(found.withColumn("first_relevance", relevance(F.col("first_score"), F.col("first_type"))), k, self.scorer)
+        else:
+            best = found.withColumn("relevance", relevance(F.col("score"), F.col("score_type"))).filter(F.col("rank") <= k)
         return rank.continued(written(best, "hits"), allowed.df)
 
+    def _rewritten(self, query: Column) -> Column:
+        """What the rewriter makes of a question; the question itself where that is nothing."""
+        new = self.rewrite(query)
+        return F.when(stripped(F.coalesce(new, F.lit(""))) != "", new).otherwise(query)
+
     def by_entity(self, questions: DataFrame, roles: set[str], k: int | None = None) -> DataFrame:
         """Lexical retrieval for each company that a question names, with the question scoped to it, merged; unfiltered where it names none.
 
@@ -83,17 +97,30 @@ class Engine:
         best = rank.rerank(found, k, self.scorer, ["query_id", "scope"])
         return rank.continued(written(rank.merge_legs(best, k), "hits"), allowed.df)
 
-    def ask_batch(self, questions: DataFrame, roles: set[str]) -> DataFrame:
-        """(query_id, status, answer, flags, confidence, label): turned-away questions never reach retrieval, gated ones never the generator."""
+    def ask_batch(self, questions: DataFrame, roles: set[str], verify: bool = False, retries: int = 0) -> DataFrame:
+        """(query_id, status, answer, flags, accuracy, confidence, label, attempts): turned-away questions never reach retrieval, gated ones never the generator.
+
+        verify asks the judge about every citation. retries is how often a question that the model
+        refused is searched for again, with the same roles: rephrased, if there is a rephraser, and
+        among more passages each time.
+        """
         checked = self.screened(questions)
         turned = F.when(F.col("violation").isNotNull(), F.col("violation")).when(F.col("injection.blocked"), F.col("injection.reason"))
-        checked = checked.withColumn("turned", turned)
+        checked = written(checked.withColumn("turned", turned), "screened")
         open_ = checked.filter("turned IS NULL").select("query_id", "query")
         hits = written(self.by_entity(open_, roles), "hits")
-        out = written(answering.grounded(open_, hits, self.generate, self.settings), "answers")
+        judge = self.judge if verify else None
+        out = answering.grounded(open_, hits, self.generate, self.settings, judge)
+
+        def again(left: DataFrame, turn: int) -> DataFrame:
+            if self.rephrase is not None:
+                left = left.withColumn("query", self.rephrase(F.col("query")))
+            return self.retrieve(left, roles, k=self.settings.top_k * (turn + 2))
+
+        out = written(answering.retried(out, open_, again, self.generate, retries, self.settings, judge), "answers")
         answer = guard.redact(guard.with_notes(F.col("answer")))
         flags = F.concat(guard.output_flags(F.col("answer")), guard.compliance_flags(F.col("answer")))
-        done = out.select("query_id", "status", answer.alias("answer"), F.coalesce(flags, F.array().cast("array<string>")).alias("flags"), "confidence", "label")
+        done = out.select("query_id", "status", answer.alias("answer"), F.coalesce(flags, F.array().cast("array<string>")).alias("flags"), "accuracy", "confidence", "label", "attempts")
         away = checked.filter("turned IS NOT NULL").select("query_id", F.col("turned").alias("status"))
         return done.unionByName(away, allowMissingColumns=True)
 

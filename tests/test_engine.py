@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import answering, vectors
 from siltstone.plans.engine import Engine
@@ -42,3 +43,44 @@ def test_verdicts_meet_their_claims(spark):
     got = {r["claim_no"]: r["verdict"] for r in answering.claim_verdicts(claims, verdicts).collect()}
     assert got == {1: "supported", 2: None}
     assert answering.accuracy(verdicts).first()["accuracy"] == pytest.approx((1 + 0 + 0) / 3)
+
+
+def test_generator_reads_all_blocks_and_judge_and_retry_are_asked(spark, corpus):
+    def last_block(question, context):
+        """Answers from the last block, and refuses with fewer than two."""
+        n = F.size(F.regexp_extract_all(context, F.lit(r"(?m)^\[(\d+)\] \(Source: "), 1))
+        body = F.element_at(F.split(context, r"(?m)^\[\d+\] \([^\n]*\)\n"), -1)
+        return F.when(n < 2, "I don't have enough information.").otherwise(F.concat(F.regexp_extract(body, r"^([^.]*)\.", 1), F.lit(" ["), n.cast("string"), F.lit("].")))
+
+    engine = Engine(corpus, generate=last_block)
+    q = spark.createDataFrame([(0, "Compare revenue of Apple and Tesla"), (1, "What are Apple's phones?")], "query_id int, query string")
+    got = {r["query_id"]: r for r in engine.ask_batch(q, {"viewer"}, verify=True).collect()}
+    assert got[0]["answer"].rstrip("].")[-1] > "1" and got[0]["accuracy"] == 1.0 and got[0]["attempts"] == 1
+    single = Engine(corpus.filter("doc_pos IN (0, 1)"), generate=last_block)
+    q = spark.createDataFrame([(0, "What was Apple's revenue?")], "query_id int, query string")
+    first = single.ask_batch(q, {"viewer"}).first()
+    assert first["status"] == "model_refused" and first["attempts"] == 1 and first["accuracy"] is None
+    again = single.ask_batch(q, {"viewer"}, retries=2).first()  # the retry looks beyond the company's leg
+    assert again["status"] == "answered" and again["attempts"] == 2 and again["confidence"] > first["confidence"]
+    assert Engine(corpus.filter("doc_pos = 0"), generate=last_block).ask_batch(q, {"viewer"}, retries=1).first()["status"] == "model_refused"
+
+
+def test_rankings_without_rescoring_and_empty_rewrites(spark, corpus):
+    q = spark.createDataFrame([(0, "revenue in the year")], "query_id int, query string")
+    engine = Engine(corpus, embed=lambda t: vectors.hashed(t, 32))
+    for mode, kind in (("lexical", "bm25"), ("dense", "cosine_relevance"), ("hybrid", "rrf")):
+        rows = engine.retrieve(q, {"admin"}, mode, reranked=False, k=3).orderBy("rank").collect()
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and {r["score_type"] for r in rows} == {kind}
+        assert all((r["relevance"] is not None) == (mode == "dense") for r in rows)
+    rows = engine.retrieve(q, {"admin"}, "dense", k=3).collect()
+    assert {r["score_type"] for r in rows} == {"cross_encoder"} and all(r["first_type"] == "cosine_relevance" and 0 <= r["first_relevance"] <= 1 for r in rows)
+    plain = {r["doc_pos"] for r in engine.retrieve(q, {"admin"}).collect()}
+    for nothing in (lambda t: F.lit(" "), lambda t: F.lit(None).cast("string")):
+        assert {r["doc_pos"] for r in Engine(corpus, rewrite=nothing).retrieve(q, {"admin"}).collect()} == plain
+    assert {r["doc_pos"] for r in Engine(corpus, rewrite=lambda t: F.lit("phones")).retrieve(q, {"admin"}).collect()} == {3}
+
+
+def test_reports_as_text(spark):
+    df = spark.createDataFrame([("why", ["a", "b"], ["c"]), ("why", [], [])], "s string, x array<string>, y array<string>")
+    got = [r[0] for r in df.select(answering.rendered(F.col("s"), F.col("x"), F.col("y"))).collect()]
+    assert got == ["why\n\nPassages consulted:\n  - a\n  - b\n\nWorth checking manually:\n  - c", "why"]
