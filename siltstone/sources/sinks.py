@@ -5,34 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS
+from ..operators import vectors
 from ..operators.evaluate import fingerprint
+from ..operators.stage import written
 
 
-def add_chunks(df: DataFrame, path: str) -> int:
-    """Append chunks whose text the collection doesn't hold yet, by hash; how many were new."""
+def add_chunks(df: DataFrame, path: str, embed=None, threshold: float = DEFAULTS.near_duplicate) -> int:
+    """Append chunks whose text the collection doesn't hold yet; how many were new.
+
+    Equal texts are found by hash. With an embedder, chunks go as well that are similar to one in the
+    collection, or to an earlier chunk of df that stays.
+    """
     spark = df.sparkSession
     new = df.dropDuplicates(["content"])
     try:
-        held = spark.read.parquet(path).select(F.sha2("content", 256).alias("h"))
+        held = spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         held = None
     if held is not None:
-        new = new.withColumn("h", F.sha2("content", 256)).join(held.distinct(), "h", "left_anti").drop("h")
-    new = new.persist()
-    try:
-        n = new.count()
-        if n:
-            new.write.mode("append").parquet(path)
-        return n
-    finally:
-        new.unpersist()
+        hashes = held.select(F.sha2("content", 256).alias("h")).distinct()
+        new = new.withColumn("h", F.sha2("content", 256)).join(hashes, "h", "left_anti").drop("h")
+    new = written(new.withColumn("_pos", F.monotonically_increasing_id()), "new-chunks")
+    if embed is not None:
+        vector = lambda x: x.withColumnRenamed("_pos", "pos").select("pos", embed(F.col("content")).alias("vector"))
+        batch = written(vector(new), "new-vectors")
+        if held is not None:
+            known = vectors.against_index(batch, vector(held.withColumn("_pos", F.monotonically_increasing_id())), threshold)
+            batch = written(batch.join(known, "pos", "left_anti"), "new-vectors")
+        kept = vectors.greedy_drop(batch.select("pos"), vectors.similar_pairs(batch, threshold))
+        new = new.join(kept.select(F.col("pos").alias("_pos")), "_pos", "left_semi")
+    new = written(new.drop("_pos"), "new-chunks")
+    n = new.count()
+    if n:
+        new.write.mode("append").parquet(path)
+    return n
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """df's rows but those of these ids (key)."""
+    return df.join(ids.select(key).distinct(), key, "left_anti")
 
 
 def delete_chunks(spark: SparkSession, path: str, ids: DataFrame, to: str) -> None:
     """A collection without the chunks of these ids (chunk_id), written to another place."""
-    spark.read.parquet(path).join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti").write.mode("overwrite").parquet(to)
+    without(spark.read.parquet(path), ids).write.mode("overwrite").parquet(to)
 
 
 def reset(df: DataFrame, path: str) -> None:
@@ -55,13 +74,16 @@ def append_audit(df: DataFrame, path: str) -> None:
 
 
 def write_run(config: dict[str, str], corpus: DataFrame, scores: DataFrame, rows: DataFrame, path: str) -> None:
-    """One JSON row: config, corpus (chunk_count, digest), scores (metric, value) and rows."""
-    spark = rows.sparkSession
-    head = corpus.select(F.struct("chunk_count", F.col("digest").alias("content_digest")).alias("corpus"))
-    s = scores.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("scores"))
-    r = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("per_question_scores"))
-    c = spark.createDataFrame([(config,)], "config map<string,string>")
-    c.join(head).join(s).join(r).withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).write.mode("overwrite").json(path)
+    """One JSON row: config, corpus (chunk_count, digest), scores (metric, value) and rows, one for each question of the suite."""
+    at = corpus.select("chunk_count", "digest").first()
+    known = {r["metric"]: r["value"] for r in scores.select("metric", "value").collect()}  # a row for each metric
+    pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map().cast("map<string,string>")
+    out = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("per_question_scores"))
+    out = out.withColumns({
+        "config": pairs(config), "corpus": F.struct(F.lit(at["chunk_count"]).alias("chunk_count"), F.lit(at["digest"]).alias("content_digest")), "scores": pairs(known),
+        "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"),
+    })
+    out.write.mode("overwrite").json(path)
 
 
 def insert_users(users: DataFrame, held: DataFrame) -> DataFrame:

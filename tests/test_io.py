@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.operators import access, evaluate, filings, vectors
 from siltstone.sources import readers, sinks
 from siltstone.streaming import audit
 
@@ -55,3 +56,57 @@ def test_stream_of_audit_rows(spark, tmp_path):
     got = sorted(map(tuple, spark.table("trail").select("window.start", "username", "n", "rejected").collect()))
     want = sorted(map(tuple, audit.requests(df, "username", "timestamp", 2).select("window.start", "username", "n", "rejected").collect()))
     assert got == want and got
+
+
+def test_similar_chunks_are_not_added(spark, tmp_path):
+    path = str(tmp_path / "c")
+    embed = lambda t: vectors.hashed(t, 64)
+    words = [f"w{k}" for k in range(40)]
+    a, b, other = " ".join(words), " ".join([*words[:-1], "changed"]), "entirely different words stand here"
+    df = spark.createDataFrame([("1", a), ("2", b), ("3", other)], "chunk_id string, content string").coalesce(1)
+    assert sinks.add_chunks(df, path, embed, 0.95) == 2
+    more = spark.createDataFrame([("4", b), ("5", "something new altogether is said")], "chunk_id string, content string")
+    assert sinks.add_chunks(more, path, embed, 0.95) == 1
+    assert {r["content"] for r in spark.read.parquet(path).collect()} >= {other, "something new altogether is said"}
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_run_is_one_json_row(spark, tmp_path):
+    corpus = spark.createDataFrame([(3, "abc")], "chunk_count long, digest string")
+    scores = spark.createDataFrame([("faithfulness", 0.5), ("recall", 0.25)], "metric string, value double")
+    rows = spark.createDataFrame([("q1", 1.0), ("q2", None)], "question string, faithfulness double")
+    sinks.write_run({"judge_model": "m"}, corpus, scores, rows, str(tmp_path / "run"))
+    got = spark.read.json(str(tmp_path / "run")).collect()
+    assert len(got) == 1 and got[0]["config"]["judge_model"] == "m" and got[0]["corpus"]["content_digest"] == "abc" and got[0]["scores"]["recall"] == 0.25
+    assert sorted(r["question"] for r in got[0]["per_question_scores"]) == ["q1", "q2"]
+
+
+def test_roles_and_sections_of_filings(spark):
+    held = spark.createDataFrame([("admin",)], "name string")
+    assert [r[0] for r in sinks.seed_roles(spark.createDataFrame([("admin",), ("viewer",)], "name string"), held).collect()] == ["viewer"]
+    parts = spark.createDataFrame([(1, "item_1", "text"), (2, "item_7", "more")], "doc_id long, section_id string, content string")
+    papers = spark.createDataFrame([(1, "aapl", "10-K", "2024-11-01"), (2, "NONE", "10-K", "2024-01-01")], "doc_id long, ticker string, filing_type string, filing_date string")
+    got = filings.section_documents(parts, papers).collect()
+    assert len(got) == 1 and got[0]["ticker"] == "AAPL" and got[0]["source_file"] == "AAPL_10-K_2024-11-01" and got[0]["company_name"] == "Apple Inc."
+    df = filings.enriched(spark.createDataFrame([("/x/y/a.txt",)], "path string"), F.col("path"), "research", ["admin", "viewer"])
+    assert df.first()["source_file"] == "a.txt" and df.first()["access_roles"] == "admin,viewer"
+    assert access.may_read({"admin"}, "anything") and access.may_read({"viewer"}, "general") and not access.may_read({"research"}, "trading") and not access.may_read(set(), "general")
+
+
+def test_runs_that_cannot_be_compared():
+    assert evaluate.check_comparable({"judge_model": "a", "top_k": 5}, {"judge_model": "a", "top_k": 9}) == []
+    with pytest.raises(ValueError, match="judge_model"):
+        evaluate.check_comparable({"judge_model": "a"}, {"judge_model": "b"})
+    with pytest.raises(ValueError, match="corpus"):
+        evaluate.check_comparable({}, {}, {"n": 1}, {"n": 2})
+    assert len(evaluate.check_comparable({"judge_model": "a"}, {}, 1, 2, force=True)) == 2
+    assert [evaluate.weight_ratio(*x) for x in ((0.7, 0.3), (1, 0), (0, 0))] == ["2.333:1", "dense_only", "none"]
+
+
+def test_judged_rows_meet_by_number(spark):
+    results = spark.createDataFrame([(0, "a", "answer", None), (1, "b", "refuse", None), (2, "c", None, "boom")], "question_no long, question string, expected_behavior string, error string")
+    scores = spark.createDataFrame([(0, "a ", 0.5)], "question_no long, question string, recall double")
+    out, each = evaluate.judged(results, scores, ["recall"])
+    assert out.first()["recall"] == 0.5 and out.first()["recall_n"] == 1 and each.count() == 3
+    with pytest.raises(ValueError, match="order"):
+        evaluate.judged(results, scores.withColumn("question", F.lit("zzz")), ["recall"])
