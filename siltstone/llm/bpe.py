@@ -124,26 +124,15 @@ def frequent_words(df: DataFrame, file: str, text: str = "text") -> list[str]:
     return counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()["word"].to_pylist()  # FREQUENT rows
 
 
-class Words:
-    """The frequent words: their codes (places in the list), and the ids of all of them in one line."""
+class Ids:
+    """The ids of the frequent words, all in one line; the words themselves are looked up elsewhere."""
 
     def __init__(self, words: list[str], file: str):
         split = splitter(file)
         self.kind = "<u2" if split.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
         ids = [split.ids(w) for w in words]
-        self.words = words
         self.sizes = np.array([len(x) for x in ids], np.int64)
         self.line = np.array([k for x in ids for k in x], self.kind)
-        self.code: dict[str, int] = {}
-
-    def codes(self) -> dict[str, int]:
-        """The code of each word, made once in each process that asks."""
-        if not self.code:
-            self.code = {w: k for k, w in enumerate(self.words)}
-        return self.code
-
-    def __getstate__(self):
-        return self.__dict__ | {"code": {}}
 
 
 def pack(codes: np.ndarray) -> bytes:
@@ -168,8 +157,8 @@ def unpack(blob: bytes) -> np.ndarray:
 class Put:
     """Puts ids together: the known words' line of ids, with room behind it for those of a few rows' other words."""
 
-    def __init__(self, known: Words):
-        self.n, self.kind = len(known.words), known.kind
+    def __init__(self, known: Ids):
+        self.n, self.kind = len(known.sizes), known.kind
         self.line, self.sizes = known.line, known.sizes
         self.starts = np.cumsum(known.sizes) - known.sizes
         self.end = len(known.line)
@@ -211,12 +200,14 @@ def encoded(df: DataFrame, file: str, key: str = "doc_id", text: str = "text") -
     A second hash keeps rows apart whose first hashes are equal; equal rows share their words' ids.
     """
     spark = df.sparkSession
-    known = Words(frequent_words(df, file, text), file)
-    shared = spark.sparkContext.broadcast(known)
+    words_ = frequent_words(df, file, text)
+    known = Ids(words_, file)
+    n_known, kind = len(words_), known.kind
+    shared, places = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast({w: k for k, w in enumerate(words_)})
 
     def ask(batches):
         split = splitter(file)
-        codes = shared.value.codes()
+        codes = places.value
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 words, rows, at = [], [], []
@@ -229,7 +220,7 @@ def encoded(df: DataFrame, file: str, key: str = "doc_id", text: str = "text") -
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(at, pa.int64()), pa.array(words, pa.string())], names=["_k", "_at", "word"])
 
     def answer(batches):
-        split, kind, last, ids, seen = splitter(file), shared.value.kind, None, b"", None
+        split, last, ids, seen = splitter(file), None, b"", None
         for batch in batches:
             out, keep = [], []
             for row in zip(values(batch, "word"), values(batch, "_k"), values(batch, "_at")):
@@ -242,8 +233,7 @@ def encoded(df: DataFrame, file: str, key: str = "doc_id", text: str = "text") -
             yield found.filter(pa.array(keep, pa.bool_()))
 
     def look_up(batches):
-        split, n = splitter(file), len(shared.value.words)
-        get = shared.value.codes().get
+        split, n, get = splitter(file), n_known, places.value.get
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 blobs = []
@@ -266,7 +256,7 @@ def encoded(df: DataFrame, file: str, key: str = "doc_id", text: str = "text") -
     whole = whole.repartition("_k").sortWithinPartitions("_k", "_row", "_at")
 
     def put_back(batches):
-        put, n, last, got = Put(shared.value), len(shared.value.words), None, {}
+        put, n, last, got = Put(shared.value), n_known, None, {}
         keys, wait = [], []
 
         def done():
@@ -298,10 +288,10 @@ def encoded(df: DataFrame, file: str, key: str = "doc_id", text: str = "text") -
     def distinct(batches):
         seen = np.zeros(1 << 8 * known_size, bool)
         for batch in batches:
-            seen[np.frombuffer(b"".join(texts(batch, "_ids")), known_kind)] = True
+            seen[np.frombuffer(b"".join(texts(batch, "_ids")), kind)] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["id"])
 
-    known_kind, known_size = known.kind, min(known.line.itemsize, 3)
+    known_size = min(known.line.itemsize, 3)
     used = mapped(answers.select("_ids"), distinct, "id int").distinct()
     own = spark.createDataFrame(pa.table({"id": pa.array(np.unique(known.line).astype(np.int32))}))
     return found, used.unionByName(own).distinct()

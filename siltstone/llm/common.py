@@ -40,11 +40,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def mapped(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of BATCH_ROWS rows, unless the session names another number than Spark's own."""
+    """df.mapInArrow(run, schema) in batches of BATCH_ROWS rows, unless the session names another number than Spark's own.
+
+    At a task's end its Python process, which waits for the next task, gives back the memory that it no longer needs.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(name) == "10000":
         conf.set(name, BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

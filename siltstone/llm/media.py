@@ -20,7 +20,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .common import texts, widened
+from .common import mapped, texts, widened
 
 #: Blocks of 8 x 8 in a frame at most: a frame is a strip of 8 lines.
 BLOCKS = 64
@@ -317,7 +317,7 @@ def clips(df, media: str = "media"):
             types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array([c[i] for c in cut], t) for i, t in enumerate(types)]], names=[*rest, *names])
 
-    return df.mapInArrow(run, widened(df, rest, "clip int, first_frame int, n_frames int, start_s double, end_s double"))
+    return mapped(df, run, widened(df, rest, "clip int, first_frame int, n_frames int, start_s double, end_s double"))
 
 
 def with_media(df, text: str = "text"):
@@ -332,7 +332,7 @@ def with_media(df, text: str = "text"):
                 files = [write_avi(padded(x)) for x in items]
                 yield pa.RecordBatch.from_arrays([*part.select(rest).columns, pa.array([len(x) for x in items], pa.int64()), pa.array(files, pa.binary())], names=[*rest, "n_bytes", "media"])
 
-    return df.select(*rest, text).mapInArrow(run, widened(df, rest, "n_bytes long, media binary"))
+    return mapped(df.select(*rest, text), run, widened(df, rest, "n_bytes long, media binary"))
 
 
 def padded(x: bytes) -> bytes:
@@ -355,4 +355,4 @@ def digest(df, key: str = "doc_id", media: str = "media"):
 
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     new = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return df.select(key, "n_bytes", media).mapInArrow(run, widened(df, [key], new))
+    return mapped(df.select(key, "n_bytes", media), run, widened(df, [key], new))
