@@ -107,7 +107,7 @@ def breakpoints(df: DataFrame, key: str, order: str, percentile: float = DEFAULT
     unit = df.withColumn("vector", normalised(F.col("vector")))
     gaps = unit.withColumn("gap", 1 - dot(F.col("vector"), F.lead("vector").over(line))).drop("vector")
     cut = F.percentile("gap", F.lit(percentile)).over(Window.partitionBy(key))
-    return gaps.withColumn("is_cut", F.coalesce(F.col("gap") > cut, F.lit(False)))
+    return gaps.withColumn("is_cut", F.coalesce(F.col("gap") > cut + 1e-12, F.lit(False)))  # a gap at the percentile itself is none, however it was rounded
 
 
 def semantic_segments(df: DataFrame, embed, key: str = "doc_id", settings: Settings = DEFAULTS) -> DataFrame:
