@@ -180,3 +180,97 @@ def test_words_of_special_texts(tokenizer):
     for text in ("a<|endoftext|>b <|startoftext|><|ENDOFTEXT|>", "I'M don't 'S's", "Σίσυφος ΟΔΟΣ İ", "x\x85y\xa0z\x1c", "½²१२Ⅷ", "é Å ﬁ"):
         assert [i for w in split.words(text) for i in split.ids(w)] == library.encode(text, add_special_tokens=False).ids
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_sketches_propose_scattered_edits_down_to_the_threshold():
+    # Of pairs with so many words in a hundred replaced, scattered over the text, all within the operator's similarity.
+    rng = np.random.default_rng(11)
+    for percent in (3, 6, 10, 13, 16, 20):
+        hit = total = 0
+        for _ in range(150):
+            a = [b"w%d" % x for x in rng.integers(0, 30_000, int(rng.integers(60, 250)))]
+            b = list(a)
+            for k in rng.choice(len(a), int(len(a) * percent / 100), replace=False):
+                b[k] = b"n%d" % rng.integers(0, 10**9)
+            x, y = b" ".join(a), b" ".join(b)
+            assert neardup.similar(x, y)
+            assert apart(neardup.signature(x), neardup.signature(y)) <= neardup.allowed(np.array(len(a)))
+            hit += len(np.intersect1d(neardup.sketches(x), neardup.sketches(y))) > 0
+            total += 1
+        assert hit >= 0.9 * total, (percent, hit, total)
+
+
+def test_signatures_tell_most_other_texts_apart():
+    rng = np.random.default_rng(3)
+    for n in (40, 200, 1000):
+        found = [neardup.signature(b" ".join(b"w%d" % x for x in rng.integers(0, 30_000, n))) for _ in range(40)]
+        passed = [apart(x, y) <= neardup.allowed(np.array(n)) for k, x in enumerate(found) for y in found[:k]]
+        assert np.mean(passed) < (0.5 if n == 40 else 0.01)
+    assert not neardup.signature(b"").any()
+
+
+def apart(a, b):
+    return sum(bin(int(x) & (1 << 64) - 1).count("1") for x in a ^ b)
+
+
+def test_places_of_many_phrases():
+    found = (b"x cc by y " * 20_000).split() + [b"cc", b"by"]
+    at = [k for k, _ in licenses.places(found)]
+    assert at == [4 * k + 1 for k in range(20_000)] + [80_000]
+
+
+def test_more_languages_than_a_mask_holds():
+    rng = np.random.default_rng(2)
+    grams = {f"l{k:03d}": rng.choice(155**3, 400, replace=False) for k in range(150)}
+    filters = langid.Filters([(name, int(g)) for name, codes in grams.items() for g in codes])
+    assert len(filters.masks) == 3 and (filters.false < 1e-6).all()
+    for k, (name, codes) in enumerate(grams.items()):
+        assert (filters.languages(codes, k // 64) >> np.uint64(k % 64) & np.uint64(1)).all(), name
+
+
+def test_shares_of_languages_by_sets():
+    lines = {"aa": [b"abc abd abe " * 9, b"abc abd"], "bb": [b"xyz xyw abc " * 9], "cc": [b"mno mnp " * 9]}
+
+    def gram(x):  # of the words with a space between them and at both ends
+        t = b" " + b" ".join(x.split()) + b" "
+        return [t[i : i + 3] for i in range(len(t) - 2) if x.split()]
+
+    sets = {name: {g for x in items for g in gram(x)} for name, items in lines.items()}
+    code = lambda g: int(langid._CLASS[g[0]] * langid.CLASSES + langid._CLASS[g[1]]) * langid.CLASSES + int(langid._CLASS[g[2]])
+    filters = langid.Filters([(name, code(g)) for name, s in sets.items() for g in s])
+    texts = [b"abc xyz", b"MNO mnp abd", b"qqq", b"12 3"]
+    for x, shares, (lang, score, _) in zip(texts, filters.shares(texts), filters.predict(texts)):
+        found = gram(bytes(x.lower()).translate(langid._CLEAN))
+        want = [sum(g in sets[name] for g in found) / max(1, len(found)) for name in sorted(sets)]
+        assert np.allclose(shares, want, atol=1e-4)
+        assert lang == ("und" if not langid.has_letter(x) else "aa" if max(want) == 0 else sorted(sets)[int(np.argmax(want))])
+        assert abs(score - (max(want) / sum(want) if sum(want) else 0)) < 1e-3
+
+
+def test_label_model_learns_accuracies_from_agreement_alone():
+    rng = np.random.default_rng(6)
+    y = rng.random(6000) < 0.15
+    reach, false = rng.uniform(0.3, 0.8, 12), rng.uniform(0.001, 0.03, 12)
+    votes = np.where(y[:, None], rng.random((6000, 12)) < reach, rng.random((6000, 12)) < false).astype(int)
+    votes = np.column_stack([votes, votes[:, :1], -(votes.sum(1) == 0).astype(int)])  # a voter twice, and one for silence
+    q, found = toxicity.label_model(votes, toxicity.first_guess(votes, 0.15), balance=0.15)
+    assert np.mean((q >= 0.5) == y) > 0.98
+    assert np.allclose(found["accuracy"][1, 1:12, 2], reach[1:], atol=0.06) and np.allclose(found["accuracy"][0, 1:12, 2], false[1:], atol=0.02)
+    assert found["correlation"][0, 12] > 0.9 and abs(found["weight"][0] - 0.5) < 0.1 and found["weight"][1] == 1
+
+
+def test_label_model_by_hand():
+    # One round of the formulas, in plain loops, from the same start.
+    votes = np.array([[1, 1, 0], [1, 0, 0], [0, 0, 0], [0, 0, -1], [0, 0, -1]])
+    start = toxicity.first_guess(votes, 0.4)
+    assert np.allclose(start, [0.9, 0.9, 0.04, 0.04, 0.04])
+    q, found = toxicity.label_model(votes, start, rounds=1, balance=0.4)
+    for i in range(5):
+        score = np.log(0.4 / 0.6)
+        for j in range(3):
+            p = []
+            for side in (lambda x: x, lambda x: 1 - x):
+                n = {v: sum(side(start[r]) for r in range(5) if votes[r, j] == v) + 0.1 for v in (-1, 0, 1)}
+                p.append(n[votes[i, j]] / sum(n.values()))
+            score += found["weight"][j] * np.log(p[0] / p[1])
+        assert abs(q[i] - 1 / (1 + np.exp(-score))) < 1e-9

@@ -1,5 +1,8 @@
 """Registered queries on a small table: held-out quality, the SQL, and the pipeline's stages."""
 
+import hashlib
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -51,3 +54,30 @@ def test_pipeline_keeps_clean_documents(spark):
     b = staged(corpus_pipeline.toxic(spark, a, SF), "t2")
     gone = {r["doc_id"] for r in a.join(b, "doc_id", "left_anti").collect()}
     assert b.columns == docs.columns and not [d for d in gone if labels.get(d) == 0]
+
+
+def test_pipeline_on_a_small_table(spark):
+    from tokenizers import Tokenizer
+
+    from siltstone.llm import mixing
+    from siltstone.llm.common import staged
+
+    at = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = staged(stage(spark, kept, at), name)
+        assert kept.columns == docs.columns
+    classes = {r["doc_id"]: r["class_id"] for r in queries.op3_near_duplicates(spark, at).collect()}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and len({classes[k] for k in ids}) == len(ids)
+    plan = {r["key"]: r["copies"] for r in mixing.mix_plan(kept).collect()}
+    library = Tokenizer.from_file(queries.tokenizer_file())
+    text = {r["doc_id"]: r["text"] or "" for r in kept.collect()}
+    got = Counter()
+    for r in corpus_pipeline.run(spark, at).collect():
+        ids = library.encode(text[r["doc_id"]], add_special_tokens=False).ids
+        assert bytes(r["ids"]) == np.array(ids, "<u4").tobytes() and r["n_tokens"] == len(ids)
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        got[r["doc_id"]] += 1
+    assert got == {k: n for k, n in plan.items() if n}
