@@ -30,7 +30,7 @@ def terms(text: Column) -> Column:
         long = F.least(F.lit(3), F.floor((F.length(a) + F.coalesce(F.length(b), F.lit(0))) / 6))
         return F.xxhash64(a, b).bitwiseAND(F.lit(-4)).bitwiseOR(long.cast("long"))
 
-    return F.zip_with(words, F.slice(words, 2, 2**31 - 1), term)
+    return F.zip_with(words, F.slice(words, 2, 1 << 30), term)
 
 
 def fingerprints(df: DataFrame, keys: list[str], arrays: dict[str, Column]) -> DataFrame:
@@ -105,18 +105,23 @@ def near(queries: DataFrame, rows: DataFrame, radius: int = 3) -> DataFrame:
     return q.join(r, on).select("query", "fp")
 
 
-def in_order(df: DataFrame, key: str, rows_per_bucket: int = 1024, most: int = 1024) -> DataFrame:
+def in_order(df: DataFrame, key: str, rows_per_bucket: int = 1024, most: int = 1 << 14) -> DataFrame:
     """df with `bucket`, `rn` (its place in the bucket by key, then text) and `next_text`, the text of the next row by key; after the last comes the first.
 
-    Buckets are ranges of the key between its quantiles, so no window holds the whole table; the
-    rows that open the buckets, at most `most`, are lined up apart.
+    Buckets are ranges of the key between its quantiles, so no window holds the whole table; their
+    number grows with the rows. The rows that open the buckets, at most `most`, are lined up apart.
     """
     n = df.count()
     many = max(1, min(most, n // rows_per_bucket))
     cuts: list = []
     if many > 1:
-        cuts = sorted(set(df.agg(F.percentile_approx(key, [k / many for k in range(1, many)], 10000)).first()[0] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+        cuts = sorted(set(df.agg(F.percentile_approx(key, [k / many for k in range(1, many)], max(10_000, 8 * many))).first()[0] or []))
+    bucket = F.lit(0)
+    if cuts:
+        # How many cuts are at or below the key, by binary search in a constant array.
+        line = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+        bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(line, at + step - 1) <= F.col(key)), at + step).otherwise(at))
     inside = Window.partitionBy("bucket").orderBy(F.col(key).asc_nulls_first(), "text")
     out = df.withColumn("bucket", F.when(F.col(key).isNull(), 0).otherwise(bucket)).select("*", F.row_number().over(inside).alias("rn"), F.lead("text").over(inside).alias("_lead"))
     return follow(out, "_lead", "text", "next_text")
