@@ -7,7 +7,8 @@ of the template's first |T| - need + 1 words (prefix filter), have at least `nee
 filter), and at each common word leave room for the rest (positional filter).
 
 Defined results: null is the empty text, with no words, places or labels and score 0; ties in
-document frequency are broken by the word; repeated rows each get their own result.
+document frequency are broken by the word; repeated rows each get their own result; an empty table
+gives no rows; columns of df named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, widened
+from .common import mapped, texts, widened
 
 # The phrases whose places are counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -52,9 +53,11 @@ def places(found: list[bytes], phrases: dict[str, str] = PHRASES) -> list[tuple[
     out = []
     for phrase, label in phrases.items():
         needle = b" %b " % phrase.encode()
-        at = line.find(needle)
+        at, last, words_before = line.find(needle), 0, 0
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
+            words_before += line.count(b" ", last, at)  # what stands before `last` has been counted
+            last = at
+            out.append((words_before, label))
             at = line.find(needle, at + 1)
     return out
 
@@ -138,7 +141,7 @@ def frequencies(df: DataFrame, text: str = "text", templates: dict[str, str] = T
                     total[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total]), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    each = df.select(text).mapInArrow(count, "word string, n long")
+    each = mapped(df.select(text), count, "word string, n long")
     return {r["word"].encode(): r["n"] for r in each.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -163,6 +166,6 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATE
                 out.append((len(found), len(base), min(at, default=None), max(at, default=None), ",".join(mine), ",".join(sorted({*mine, *(n for n, _ in own)})), score))
             yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, *[pa.array([r[i] for r in out], t) for i, t in enumerate(types)]], names=[*rest, *names])
 
-    return df.select(*rest, text).mapInArrow(run, widened(df, rest, new))
+    return mapped(df.select(*rest, text), run, widened(df, rest, new))
 
 
