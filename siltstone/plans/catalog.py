@@ -555,7 +555,22 @@ def hybrid_topk(spark, d):
     return rank.hybrid(dense, lexical, docs.df.select("doc_pos", "content"), 5).select("query_id", F.sha2("content", 256).alias("h"), "rank", "score_type")
 
 
-@query()
+_TOK = "regexp_extract_all(lower({x}), '([a-z0-9]+(?:\\.[0-9]+)?)', 1)"
+_LEGGED = f"""k AS (SELECT doc_pos, ticker, {_TOK.format(x="ticker || ' ' || section_name || ': ' || content")} AS t FROM c),
+ sc AS (SELECT doc_pos, t, '' AS scope FROM k UNION ALL SELECT doc_pos, t, ticker FROM k), p AS (SELECT scope, doc_pos, len(t) AS dl, unnest(t) AS token FROM sc),
+ tf AS (SELECT scope, token, doc_pos, dl, count(*) AS tf FROM p GROUP BY ALL), st AS (SELECT scope, count(*) AS n, avg(len(t)) AS avgdl FROM sc GROUP BY 1),
+ raw AS (SELECT scope, token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tf JOIN st USING (scope) GROUP BY scope, token, n),
+ i AS (SELECT scope, token, CASE WHEN r < 0 THEN 0.25 * avg(r) OVER (PARTITION BY scope) ELSE r END AS idf FROM raw),
+ legs AS (SELECT item_id AS query_id, 0 AS entity_pos, 'AAPL' AS scope, 'Apple ' || text AS query FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT item_id, 1, 'TSLA', 'Tesla ' || text FROM benchmark WHERE item_id % 3 = 0
+  UNION ALL SELECT item_id, 0, 'GS', 'What does Goldman say on ' || text FROM benchmark WHERE item_id % 3 = 1 UNION ALL SELECT item_id, 0, '', text FROM benchmark WHERE item_id % 3 = 2),
+ qt AS (SELECT query_id, scope, token, count(*) AS times FROM (SELECT query_id, scope, unnest({_TOK.format(x="query")}) AS token FROM legs) GROUP BY ALL),
+ s AS (SELECT query_id, scope, doc_pos, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN i USING (scope, token) JOIN tf USING (scope, token) JOIN st USING (scope) GROUP BY ALL),
+ top AS (SELECT query_id, scope, doc_pos FROM s QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY round(score, 9) DESC, doc_pos) <= 20),
+ z AS (SELECT query_id, scope, entity_pos, doc_pos, ticker, 8.0::DOUBLE * len(list_intersect(list_distinct({_TOK.format(x="query")}), t)) / len(list_distinct({_TOK.format(x="query")})) - 4 AS score FROM top JOIN legs USING (query_id, scope) JOIN k USING (doc_pos)),
+ best AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY round(score, 9) DESC, doc_pos) AS place FROM z QUALIFY place <= 5)"""
+
+
+@query(f"WITH {C}, {_LEGGED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + exp(-score)), 9) DESC, entity_pos, place) AS rank, doc_pos, ticker FROM best QUALIFY rank <= 5")
 def multi_entity_topk(spark, d):
     from .engine import Engine
 

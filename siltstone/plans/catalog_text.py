@@ -151,7 +151,18 @@ def _bound(df: DataFrame, key, t, gap: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(text.alias("text")).withColumnRenamed("key", "doc_id")
 
 
-@query()
+_CLEANED = "text"
+for _p in (T.CONTENTS, r"^[ \t]*[^\n]{0,90}\bForm[ \t]*10-[KQ]\b[^\n]{0,25}[ \t]*[|•·–—][ \t]*\d{1,4}[ \t]*$", r"^[ \t]*\d{1,4}[ \t]*[|•·–—][ \t]*[^\n]{0,90}\bForm[ \t]*10-[KQ]\b[^\n]{0,25}[ \t]*$", T.PAGE_FOOTERS[2], T.BARE_PAGE):
+    _CLEANED = f"regexp_replace({_CLEANED}, '(?im){_p}', '', 'g')"
+_CLEANED = f"regexp_replace(regexp_replace(regexp_replace({_CLEANED}, '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_ITEMS = "['1', '1A', '7', '8'][doc_id % 4 + 1]"
+
+
+@query(f"""WITH p AS (SELECT doc_id // 4 AS f, doc_id, lower({_ITEMS}) AS item, text, chr(10) || 'Item ' || {_ITEMS} || '. Title' || chr(10) || text AS part FROM documents),
+ b AS (SELECT *, coalesce(string_agg(part, chr(10)) OVER before || chr(10), '') AS before, lag(text) OVER (PARTITION BY f ORDER BY doc_id) AS last FROM p WINDOW before AS (PARTITION BY f ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ r AS (SELECT *, regexp_replace(before, '\\s+$', '') AS solid, {_CLEANED} AS content FROM b)
+ SELECT f AS doc_id, 'item_' || item AS section_id, MAP {{{", ".join(f"'{k}': '{v}'" for k, v in filings.SECTIONS.items())}}}[item] AS section_name,
+ CASE WHEN before = '' THEN 0 WHEN regexp_replace(last, '^\\s+', '') = '' THEN length(before) + 1 ELSE length(solid) + position(chr(10) IN substr(before || chr(10), length(solid) + 1)) END AS start, length(content) AS n_chars FROM r WHERE length(content) >= 100""")
 def section_spans(spark, d):
     # Four documents whose ids follow one another are the four Items of a filing.
     item = F.element_at(F.array(F.lit("1"), F.lit("1A"), F.lit("7"), F.lit("8")), F.pmod("doc_id", F.lit(4)).cast("int") + 1)
@@ -163,7 +174,8 @@ def section_spans(spark, d):
 PAGES = 9999
 
 
-@query()
+@query(f"""WITH p AS (SELECT source || '/' || (doc_id // {PAGES}) AS key, doc_id, doc_id % {PAGES} + 1 AS page, 3 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS lines FROM documents)
+ SELECT key AS doc_id, coalesce(sum(lines) OVER (PARTITION BY key ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS line_no, 'ACME CORP AND SUBSIDIARIES' AS line, page FROM p QUALIFY count(*) OVER (PARTITION BY key) >= 8""")
 def running_header_strip(spark, d):
     page = (F.pmod("doc_id", F.lit(PAGES)) + 1).cast("string")
     t = F.concat(F.lit("Acme 2025 Form 10-K | "), page, F.lit("\nACME CORP AND SUBSIDIARIES\n"), F.coalesce("text", F.lit("")))
