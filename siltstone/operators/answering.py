@@ -138,10 +138,10 @@ def numbered(hits: DataFrame) -> DataFrame:
 
 
 def extract_answer(question: Column, context: Column) -> Column:
-    """The default generator: the first block's first sentence, cited."""
+    """The default generator: the first block's first sentence, cited before its end."""
     block = F.regexp_replace(F.get(F.split(context, r"\n\n---\n\n(?=\[\d+\] \()"), F.lit(0)), r"^\[1\] \([^\n]*\)\n", "")
     first = F.get(sentences(block), F.lit(0))
-    return F.when(first.isNotNull(), F.concat(first, F.lit(" [1]"))).otherwise(F.lit("I don't have enough information in the available documents to answer this question."))
+    return F.when(first.isNotNull(), F.regexp_replace(first, r"(?s)^(.*?)\s*([.?!]*)$", "$1 [1]$2")).otherwise(F.lit("I don't have enough information in the available documents to answer this question."))
 
 
 def grounded(questions: DataFrame, hits: DataFrame, generate=extract_answer, settings: Settings = DEFAULTS, judge=None) -> DataFrame:

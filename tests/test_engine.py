@@ -20,6 +20,7 @@ def test_batch(spark, corpus):
     got = {r["query_id"]: r for r in Engine(corpus).ask_batch(spark.createDataFrame(q, "query_id int, query string"), {"viewer"}).collect()}
     assert got[1]["status"] == "prompt_injection_detected" and got[2]["status"] == "ambiguous_entity" and got[3]["status"] == "empty_input"
     assert got[0]["status"] == "answered" and got[0]["answer"].startswith("Apple revenue was 58,283") and got[4]["status"] == "answered"
+    assert got[0]["answer"] == "Apple revenue was 58,283 in the year [1]."
 
 
 @pytest.mark.parametrize("mode", ["lexical", "dense", "hybrid"])
