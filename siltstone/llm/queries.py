@@ -1,11 +1,11 @@
-"""The queries op1_ to op10_ and their SQL."""
+"""The queries op1_ to op13_ and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, lm, media, mixing, neardup, pages, simhash, toxicity
+from . import bpe, langid, licenses, lm, media, mixing, neardup, pages, simhash, toxicity, whitening
 from .common import fold, table
 
 
@@ -69,6 +69,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows, 32)
+    return whitening.empty(rows) if model is None else whitening.components(rows, model)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
