@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, lm, media, mixing, neardup, pages, simhash, toxicity, whitening
+from . import bpe, dialogue, langid, licenses, lm, media, mixing, neardup, pages, simhash, toxicity, whitening
 from .common import fold, table
 
 
@@ -75,6 +75,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.empty(rows) if model is None else whitening.components(rows, model)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
