@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dialogue, langid, licenses, lm, media, mixing, neardup, pages, simhash, toxicity, whitening
+from . import bpe, dialogue, langid, licenses, lm, media, mixing, neardup, pages, simhash, toxicity, warc, whitening
 from .common import fold, table
 
 
@@ -69,6 +69,16 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages_ = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind = pages_.schema["page_id"].dataType
+    found = warc.resolved(warc.read(spark, warc.write(pages_)))
+    return found.select(
+        warc.page_of("record_id").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), warc.page_of("refers_to_id").cast(kind).alias("refers_to"),
+    )
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = whitening.fit(rows, 32)
