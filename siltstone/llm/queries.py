@@ -115,6 +115,18 @@ ORACLE = {
         best AS (SELECT source, seed FROM b QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, seed) = 1)
         SELECT c.doc_id, c.size::BIGINT AS size, c.source_size, round(c.target, 6) AS target, (c.size * c.copies)::BIGINT AS taken
         FROM c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.seed = best.seed""",
+    "op11_warc": """
+        WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+        n AS (
+            SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h,
+                   row_number() OVER (PARTITION BY b ORDER BY page_id NULLS LAST, url NULLS LAST) AS nth,
+                   first_value(page_id) OVER (PARTITION BY b ORDER BY page_id NULLS LAST, url NULLS LAST) AS response
+            FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+               CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN nth > 1 THEN response END AS refers_to
+        FROM n""",
 }
 
 
