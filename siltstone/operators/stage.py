@@ -5,22 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read back, so that what follows neither repeats nor loses it.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing uses yet, in the folder that driver and executors share (spark.checkpoint.dir).
 
     Only a local session may lack that setting; it gets a temporary folder.
     """
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df written as Parquet in the shared folder and read back, so that what follows neither repeats nor loses it."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -8,13 +8,22 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
+from .rank import normalised
 from .stage import written
 
+#: Rows of a block; two blocks meet in one matrix product.
 BLOCK_ROWS = 2048
+#: Pivots at most: they are broadcast, and every row is measured against each.
+PIVOTS = 4096
+#: Links that one task goes through in order.
+LINKS = 1_000_000
+#: What distances may be off by.
+SLACK = 1e-6
 
 
 @lru_cache(maxsize=200_000)
@@ -39,46 +48,160 @@ def hashed(text: Column, size: int = 64) -> Column:
     return _hasher(size)(text)
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(v, axis=1, keepdims=True)
-    return v / np.where(length > 0, length, 1)
+class _Cells:
+    """Rows of unit vectors in cells round pivots, and what must meet in each cell.
 
+    Cosine >= t means distance <= r = sqrt(2 - 2t). A row is at home at its nearest pivot. A row x with
+    home a has partners at home in b only if d(x, b) <= r + the radius of b, and if it lies no further
+    than r behind the plane between a and b: (d(x, b)^2 - d(x, a)^2) / (2 d(a, b)) <= r. Both follow from
+    the triangle inequality, so no pair is lost, and cells too far apart never meet.
+    """
 
-def _meet(threshold: float, same: bool):
-    """The rows of one block of either side against each other: (later, earlier, score), or (pos, other, score) of two tables."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        sides = ("own", a, b) if same else ("side", 0, 1)
-        left, right = pdf[pdf[sides[0]] == sides[1]], pdf[pdf[sides[0]] == sides[2]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"x": [], "y": [], "score": []}).astype({"x": "int64", "y": "int64", "score": "float64"})
-        x, y = (_unit(np.stack(part["vector"].to_numpy()).astype(np.float64)) for part in (left, right))
-        p, q = left["pos"].to_numpy(), right["pos"].to_numpy()
-        s = x @ y.T
+    def __init__(self, home: DataFrame, threshold: float, rows: int, pivots: int):
+        self.rows, self.reach = rows, (np.sqrt(2 - 2 * min(threshold, 1.0)) if threshold > 0 else np.inf) + SLACK
+        n = home.count()
+        m = 1 if n <= rows else min(pivots, int(2 * np.sqrt(n)) + 1)
+        # At most `pivots` vectors; equal ones would be one cell.
+        found = home.orderBy(F.xxhash64("pos"), "pos").limit(m).select("vector").toPandas()["vector"]
+        self.pivots = np.unique(np.stack(found.to_numpy()).astype(np.float64), axis=0) if len(found) else np.zeros((1, 1))
+        self.sent = home.sparkSession.sparkContext.broadcast(self.pivots)
+        self.home = written(self.placed(home), "cells")
+        each = self.home.groupBy("home").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).toPandas()  # a row for each pivot
+        self.radius, self.count = np.full(len(self.pivots), -np.inf), np.zeros(len(self.pivots), np.int64)
+        self.radius[each["home"]], self.count[each["home"]] = each["r"], each["n"]
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """(pos, vector, home, dist): each row's nearest pivot, the first on ties, and its distance."""
+        pivots = self.sent
+
+        def run(batches):
+            for batch in batches:
+                x = _matrix(batch.column(1))
+                d = _distances(x, pivots.value)
+                home = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home, pa.int32()), pa.array(d[np.arange(len(x)), home])], names=["pos", "vector", "home", "dist"])
+
+        return df.select("pos", "vector").mapInArrow(run, "pos long, vector array<double>, home int, dist double")
+
+    def _visits(self, below: bool):
+        """For some rows and their distances from the pivots: whether each must visit each cell."""
+        pivots, radius, reach = self.sent, self.radius, self.reach
+
+        def run(d: np.ndarray, home: np.ndarray) -> np.ndarray:
+            own = d[np.arange(len(d)), home][:, None]
+            apart = _distances(pivots.value, pivots.value)[home]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                behind = np.where(apart > 0, (d**2 - own**2) / (2 * apart), 0.0)
+            out = (d <= radius + reach) & (behind <= reach)
+            return out & (np.arange(d.shape[1]) < home[:, None]) if below else out
+
+        return run
+
+    def dealt(self, visitors: DataFrame, below: bool) -> DataFrame:
+        """(cell, i, j, side, pos, vector): side 0 is a block of rows at home in the cell, side 1 another such block or one of visitors.
+
+        Blocks have about `rows` rows at most, so that a hot cell is spread over as many tasks as it needs.
+        With `below`, the visitors are the rows at home themselves, each to cells before its own only,
+        and blocks at home meet each other too.
+        """
+        pivots, visits, rows = self.sent, self._visits(below), self.rows
+
+        def counted(batches):
+            total = np.zeros(len(pivots.value), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    total += visits(_distances(_matrix(batch.column(0)), pivots.value), batch.column(1).to_numpy()).sum(axis=0)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
+
+        each = visitors.select("vector", "home").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # a row for each pivot
+        guests = np.zeros(len(self.pivots), np.int64)
+        guests[each["cell"]] = each["n"]
+        own_parts, guest_parts = -(-self.count // rows), np.where(self.count > 0, -(-guests // rows), 0)
+        schema = "cell int, i int, j int, side int, pos long, vector array<double>"
+
+        def sent(batch, cell, i, j, side, at):
+            part = batch.take(pa.array(at, pa.int64()))
+            numbers = [pa.array(np.asarray(x, np.int32), pa.int32()) for x in (cell, i, j, side)]
+            return pa.RecordBatch.from_arrays([*numbers, part.column(0), part.column(1)], names=["cell", "i", "j", "side", "pos", "vector"])
+
+        def block(batch, parts):
+            return _mixed(batch.column(0).to_numpy()) % np.maximum(parts, 1).astype(np.uint64)
+
+        def at_home(batches):
+            for batch in batches:
+                home = batch.column(2).to_numpy()
+                mine = block(batch, own_parts[home]).astype(np.int64)
+                at, cell, i, j, side = [], [], [], [], []
+                for k, (c, b) in enumerate(zip(home.tolist(), mine.tolist())):
+                    others = [(min(b, o), max(b, o), int(b > o)) for o in range(own_parts[c])] if below else []
+                    for x, y, s in others + [(b, own_parts[c] + g, 0) for g in range(guest_parts[c])]:
+                        at.append(k), cell.append(c), i.append(x), j.append(y), side.append(s)
+                yield sent(batch, cell, i, j, side, at)
+
+        def visiting(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                home = batch.column(2).to_numpy()
+                row, cell = np.nonzero(visits(_distances(_matrix(batch.column(1)), pivots.value), home) & (own_parts > 0))
+                g = (_mixed(batch.column(0).to_numpy())[row] % np.maximum(guest_parts[cell], 1).astype(np.uint64)).astype(np.int64)
+                times = own_parts[cell]
+                first = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                yield sent(batch, np.repeat(cell, times), first, np.repeat(own_parts[cell] + g, times), np.ones(times.sum()), np.repeat(row, times))
+
+        columns = ("pos", "vector", "home")
+        return self.home.select(*columns).mapInArrow(at_home, schema).unionByName(visitors.select(*columns).mapInArrow(visiting, schema))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A number's place among blocks: its bits mixed, that neighbours be dealt apart."""
+    x = x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _meet(threshold: float):
+    """The rows of one block against each other, or two blocks: (x, y, score), x on side 0."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side, p = group["side"].to_numpy(), group["pos"].to_numpy()
+        v = _matrix(group["vector"].combine_chunks())
+        alone = group["i"][0].as_py() == group["j"][0].as_py()
+        left = side == 0
+        right = left if alone else ~left
+        s = v[left] @ v[right].T
         near = s >= threshold
-        if same:
-            near &= (p[:, None] < q[None, :]) if a == b else (p[:, None] != q[None, :])
+        if alone:
+            near &= p[left][:, None] < p[right][None, :]
         i, j = np.nonzero(near)
-        if not same:
-            return pd.DataFrame({"x": p[i], "y": q[j], "score": s[i, j]})
-        return pd.DataFrame({"x": np.maximum(p[i], q[j]), "y": np.minimum(p[i], q[j]), "score": s[i, j]})
+        return pa.table({"x": p[left][i], "y": p[right][j], "score": s[i, j]})
 
     return run
 
 
-def similar_pairs(df: DataFrame, threshold: float, pos: str = "pos", vector: str = "vector", rows: int = BLOCK_ROWS) -> DataFrame:
+def _units(df: DataFrame, pos: str, vector: str) -> DataFrame:
+    """(pos, vector) with unit vectors; rows without a vector have no cosine."""
+    return df.filter(F.size(vector) > 0).select(F.col(pos).cast("long").alias("pos"), normalised(F.col(vector)).alias("vector"))
+
+
+def similar_pairs(df: DataFrame, threshold: float, pos: str = "pos", vector: str = "vector", rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """(later, earlier, score) of every two rows whose cosine is at least the threshold: exact.
 
-    Rows are dealt to blocks, and each two blocks meet in one matrix product of bounded size; a row is
-    sent as often as there are blocks.
+    Rows meet in cells round pivots (see _Cells); rows with a null or empty vector meet none. On rows
+    without clusters, where everything is about as far from everything, each row visits many cells.
     """
-    blocks = max(1, -(-df.count() // rows))
-    own = F.pmod(F.xxhash64(pos), F.lit(blocks)).cast("int")
-    base = df.select(F.col(pos).alias("pos"), F.col(vector).alias("vector"), own.alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    sent = base.select("pos", "vector", "own", other).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    return sent.groupBy("a", "b").applyInPandas(_meet(threshold, True), "x long, y long, score double").toDF("later", "earlier", "score")
+    cells = _Cells(written(_units(df, pos, vector), "units"), threshold, rows, pivots)
+    found = cells.dealt(cells.home, True).groupBy("cell", "i", "j").applyInArrow(_meet(threshold), "x long, y long, score double")
+    return found.select(F.greatest("x", "y").alias("later"), F.least("x", "y").alias("earlier"), "score")
 
 
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -103,36 +226,54 @@ def histogram(pairs: DataFrame, thresholds=(0.90, 0.95, 0.98, 0.999)) -> DataFra
     return every.join(counted, "threshold", "left").select("threshold", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def greedy_drop(df: DataFrame, pairs: DataFrame, pos: str = "pos") -> DataFrame:
+def greedy_drop(df: DataFrame, pairs: DataFrame, pos: str = "pos", links: int = LINKS) -> DataFrame:
     """df's rows that a pass in order keeps, where a row goes if an earlier kept row is similar.
 
-    In rounds over all rows at once: a row with no undecided or kept earlier match is kept, a row
-    with a kept one goes. A chain a~b~c without a~c keeps a and c.
+    Up to `links` links, one task goes through them in order and remembers which rows went. While there
+    are more, rounds over all rows at once decide what they can: a row with no undecided or kept earlier
+    match is kept, a row with a kept one goes. A chain a~b~c without a~c keeps a and c.
     """
     open_ = written(pairs.select("later", "earlier").distinct())
     dropped = None
-    while open_.limit(1).count():
+
+    def gone_in(found: DataFrame) -> None:
+        nonlocal dropped
+        dropped = found if dropped is None else dropped.unionByName(found)
+
+    while (left := open_.count()) > links:
         # The earlier row of a link is kept for certain if it has no open link to rows before it.
         kept = open_.select(F.col("earlier").alias("p")).distinct().join(open_.select(F.col("later").alias("p")).distinct(), "p", "left_anti")
         gone = written(open_.join(kept, open_["earlier"] == kept["p"]).select(F.col("later").alias("p")).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+        gone_in(gone)
         g = gone.withColumnRenamed("p", "g")
         open_ = written(open_.join(g, open_["later"] == g["g"], "left_anti").join(g, open_["earlier"] == g["g"], "left_anti"))
+    if left:
+        gone_in(written(open_.repartition(1).sortWithinPartitions("later").mapInArrow(_passed, "p long"), "dropped"))
     return df if dropped is None else df.join(dropped.select(F.col("p").alias(pos)), pos, "left_anti")
 
 
-def against_index(batch: DataFrame, index: DataFrame, threshold: float, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(pos, best): rows of the batch whose cosine with some indexed vector reaches the threshold.
+def _passed(batches):
+    """Rows that go, from links in order of the later row: all that is said of its earlier rows is known by then."""
+    gone: set[int] = set()
+    for batch in batches:
+        for later, earlier in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if earlier not in gone:
+                gone.add(later)
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.int64())], names=["p"])
 
-    Blocks of the batch meet blocks of the index, and nothing else: a row of the index is sent once
-    for each block of the batch.
-    """
-    na, nb = (max(1, -(-df.count() // rows)) for df in (batch, index))
 
-    def sent(df: DataFrame, side: int, own: str, n: int, other: str, m: int) -> DataFrame:
-        spread = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
-        return df.select("pos", "vector", F.lit(side).alias("side"), F.pmod(F.xxhash64("pos"), F.lit(n)).cast("int").alias(own), spread)
+def skipped(pairs: DataFrame, kept: DataFrame, pos: str = "pos") -> DataFrame:
+    """(pos, score, match) of what greedy_drop() drops: the kept earlier row most similar to it, the first on ties."""
+    of = kept.select(F.col(pos).alias("earlier"))
+    return duplicate_report(pairs.join(of, "earlier", "left_semi").join(kept.select(F.col(pos).alias("later")), "later", "left_anti"))
+
 
-    both = sent(batch, 0, "a", na, "b", nb).unionByName(sent(index, 1, "b", nb, "a", na))
-    hit = both.groupBy("a", "b").applyInPandas(_meet(threshold, False), "x long, y long, score double")
-    return hit.groupBy(F.col("x").alias("pos")).agg(F.max("score").alias("best"))
+def against_index(batch: DataFrame, index: DataFrame, threshold: float, rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """(pos, best): rows of the batch whose cosine with some indexed vector reaches the threshold.
+
+    An indexed row lies in its own cell only; a row of the batch visits the cells that can hold a partner.
+    """
+    cells = _Cells(written(_units(index, "pos", "vector"), "units"), threshold, rows, pivots)
+    visitors = written(cells.placed(_units(batch, "pos", "vector")), "visitors")
+    hit = cells.dealt(visitors, False).groupBy("cell", "i", "j").applyInArrow(_meet(threshold), "x long, y long, score double")
+    return hit.groupBy(F.col("y").alias("pos")).agg(F.max("score").alias("best"))

@@ -10,7 +10,7 @@ from ..functions import answers as A
 from ..functions import entities, guard
 from ..functions import text as T
 from ..operators import answering, chunking, filings, rank, vectors
-from ..streaming import audit
+from ..streaming import audit, limits
 from .catalog import C, corpus, plain, query, table
 
 c = F.col
@@ -415,13 +415,23 @@ def near_dup_histogram(spark, d):
     return vectors.histogram(pairs(spark, d), (0.40, 0.42, 0.45, 0.5))
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, k(pos, kept) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL
- SELECT pos + 1, CASE WHEN NOT EXISTS (SELECT 1 FROM e WHERE vec_id = pos + 1) THEN kept WHEN EXISTS (SELECT 1 FROM h WHERE later = pos + 1 AND list_contains(kept, earlier)) THEN kept ELSE list_append(kept, pos + 1) END FROM k WHERE pos < (SELECT max(vec_id) FROM e))
- SELECT unnest(kept) AS pos FROM (SELECT kept FROM k ORDER BY pos DESC LIMIT 1)""")
+_GREEDY = f"""WITH RECURSIVE {_PAIRS}, k(pos, kept) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL
+ SELECT pos + 1, CASE WHEN NOT EXISTS (SELECT 1 FROM e WHERE vec_id = pos + 1) THEN kept WHEN EXISTS (SELECT 1 FROM h WHERE later = pos + 1 AND list_contains(kept, earlier)) THEN kept ELSE list_append(kept, pos + 1) END FROM k WHERE pos < (SELECT max(vec_id) FROM e)),
+ kept AS (SELECT unnest(kept) AS pos FROM (SELECT kept FROM k ORDER BY pos DESC LIMIT 1))"""
+
+
+@query(f"{_GREEDY} SELECT pos FROM kept")
 def near_dup_greedy(spark, d):
     return vectors.greedy_drop(table(spark, d, "embeddings").select(c("vec_id").alias("pos")), pairs(spark, d))
 
 
+@query(f"{_GREEDY} SELECT later AS pos, round(max(score), 6) AS score, arg_min(earlier, -round(score, 9) * 1000000000 + earlier / 1000000.0) AS match FROM h WHERE earlier IN (FROM kept) AND later NOT IN (FROM kept) GROUP BY 1")
+def near_dup_skipped(spark, d):
+    found = pairs(spark, d)
+    kept = vectors.greedy_drop(table(spark, d, "embeddings").select(c("vec_id").alias("pos")), found)
+    return vectors.skipped(found, kept).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH e AS (SELECT vec_id, vec_id % 2 = 0 AS b, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT a.vec_id AS pos, round(max(list_dot_product(a.v, i.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(i.v, i.v))), 6) AS best FROM e a JOIN e i ON a.b AND NOT i.b GROUP BY 1 HAVING best >= 0.4")
 def near_dup_index(spark, d):
     e = table(spark, d, "embeddings").select(c("vec_id").alias("pos"), c("embedding").alias("vector"))
@@ -445,6 +455,15 @@ def rate_limit_fixed_window(spark, d):
     return audit.limited(table(spark, d, "events"), "user_id", "ts", 3, 86400, "event_id").select("event_id", "allowed")
 
 
+@query("WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, epoch(ts)::BIGINT // 86400 ORDER BY ts, event_id) AS n FROM events) SELECT event_id, n <= 3 AS allowed FROM r")
+def rate_limit_stream(spark, d):
+    """The same decisions from the table as a stream, in any order; a request far in the future closes the last windows."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts")
+    far = spark.range(1).select(F.lit(None).alias("event_id"), F.lit(None).alias("user_id"), F.lit("2200-01-01").alias("ts"))
+    found = limits.finished(limits.decided(limits.replayed(events, far), "user_id", "ts", "event_id", 3, 86400, "40 days"), "limits")
+    return found.filter("event_id IS NOT NULL").select("event_id", "allowed")
+
+
 @query("SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def audit_daily(spark, d):
     return audit.daily(table(spark, d, "events"), "ts")
