@@ -90,8 +90,9 @@ def dense(corpus: Authorized, queries: DataFrame, k: int, settings: Settings = D
 
     The questions are a batch of checked size: up to broadcast_rows numbers they meet the corpus where
     its rows lie; a larger batch is cut up. A task holds SCORES scores at a time, and only the k best
-    of each of its blocks leave it.
+    of each of its blocks leave it. Rows and questions without a vector have no score.
     """
+    queries = queries.filter(F.size("vector") > 0)
     first = queries.select("vector").first()
     width = len(first[0]) if first and first[0] is not None else 1
     n, most = queries.count(), max(1, settings.broadcast_rows * 64 // max(1, width))
@@ -121,7 +122,7 @@ def dense(corpus: Authorized, queries: DataFrame, k: int, settings: Settings = D
                 best = np.argsort(-np.round(score, DIGITS), axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(np.array(ids[a : a + step], dtype=object), best.shape[1]), "doc_pos": pdf["doc_pos"].to_numpy()[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
 
-    found = corpus.df.select("doc_pos", "vector").mapInPandas(block, f"query_id {kind}, doc_pos long, score double")
+    found = corpus.df.filter(F.size("vector") > 0).select("doc_pos", "vector").mapInPandas(block, f"query_id {kind}, doc_pos long, score double")
     return ranked(found, [_best(), F.asc("doc_pos")], k)
 
 
@@ -129,12 +130,13 @@ def fuse(lists: DataFrame, k: int | None = None, settings: Settings = DEFAULTS)
     """Reciprocal-rank fusion of (query_id, list_no, rank0, content, weight): (query_id, content, score, rank).
 
     A text counts by its hash, once for each time it stands in a list; ties go to the first list that
-    has it, then to its place there.
+    has it, then to its place there. A column doc_pos comes along: the least of the hits with that text.
     """
+    more = [F.min("doc_pos").alias("doc_pos")] if "doc_pos" in lists.columns else []
     part = F.col("weight") / (settings.rrf_k + F.col("rank0"))
-    summed = lists.groupBy("query_id", F.sha2("content", 256).alias("key")).agg(F.sum(part).alias("score"), F.min(F.struct("list_no", "rank0", "content")).alias("first"))
+    summed = lists.groupBy("query_id", F.sha2("content", 256).alias("key")).agg(F.sum(part).alias("score"), F.min(F.struct("list_no", "rank0", "content")).alias("first"), *more)
     out = ranked(summed, [_best(), F.asc("first.list_no"), F.asc("first.rank0")], k)
-    return out.select("query_id", F.col("first.content").alias("content"), "score", "rank")
+    return out.select("query_id", F.col("first.content").alias("content"), "score", "rank", *(["doc_pos"] if more else []))
 
 
 def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, text: DataFrame, k: int, settings: Settings = DEFAULTS) -> DataFrame:

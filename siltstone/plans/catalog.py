@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from ..functions import answers as A
 from ..functions import entities
 from ..functions import text as T
-from ..operators import access, answering, evaluate, filings, rank, vectors
+from ..operators import access, answering, evaluate, filings, lexical, rank, vectors
+from ..operators.stage import shared_path
 from ..sources import sinks
 
 #: Columns that the tables themselves hold as int.
@@ -443,6 +444,14 @@ def bm25_topk(spark, d):
     return rank.Bm25(_research(spark, d)).search(questions(spark, d), 5).select("query_id", "rank", "doc_pos", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_RESEARCH}{_BM25} SELECT query_id, rank, doc_pos, round(score, 6) AS score FROM ranked WHERE rank <= 5")
+def bm25_kept_topk(spark, d):
+    """bm25_topk from a kept index: odd documents are there, even ones come as a delta when it is opened again."""
+    root, whole = shared_path(spark, "bm25-index"), _research(spark, d)
+    lexical.KeptBm25.open(whole.where(c("doc_pos") % 2 == 1), root, "research")
+    return lexical.KeptBm25.open(whole, root, "research").search(questions(spark, d), 5).select("query_id", "rank", "doc_pos", F.round("score", 6).alias("score"))
+
+
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '([a-z0-9]+(?:\\.[0-9]+)?)', 1)) AS n, len(list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+(?:\\.[0-9]+)?)', 1))) AS n_distinct FROM documents")
 def bm25_tokens(spark, d):
     t = table(spark, d, "documents").select("doc_id", T.tokens(c("text")).alias("t"))

@@ -11,8 +11,8 @@ from ..config import DEFAULTS, Settings
 from ..functions import entities, guard
 from ..functions.answers import relevance
 from ..functions.text import passage, stripped
-from ..operators import access, answering, evaluate, rank
-from ..operators.stage import written
+from ..operators import access, answering, evaluate, lexical, rank
+from ..operators.stage import shared_path, written
 
 
 @dataclass
@@ -32,6 +32,26 @@ class Engine:
     rewrite: object = None
     rephrase: object = None
     settings: Settings = field(default_factory=lambda: DEFAULTS)
+    index_root: str | None = None
+    _indexes: dict = field(default_factory=dict, init=False, repr=False)
+
+    def lexical_index(self, corpus: access.Authorized, key: str) -> lexical.KeptBm25:
+        """The kept index of what a key may read: opened once, then used by every call.
+
+        Under index_root it outlives this engine, and is extended if documents were added meanwhile;
+        without one it lies in the shared folder.
+        """
+        if self.index_root is None:
+            self.index_root = shared_path(self.corpus.sparkSession, "bm25-index")
+        if key not in self._indexes:
+            self._indexes[key] = lexical.KeptBm25.open(corpus, self.index_root, key, self.settings)
+        return self._indexes[key]
+
+    @staticmethod
+    def _key(kind: str, roles: set[str], extra: Column | None = None) -> str:
+        """What stands for a scope: departments, not roles, since roles that read the same share an index."""
+        allowed = access.readable(roles)
+        return f"{kind}|{'*' if allowed is None else ','.join(sorted(allowed))}|{'' if extra is None else extra}"
 
     def screened(self, questions: DataFrame) -> DataFrame:
         """questions (query_id, query) with violation, injection and the redacted query."""
@@ -45,7 +65,7 @@ class Engine:
         allowed = access.authorized(self.corpus, roles, extra)
         text = passage(F.col("ticker"), F.col("section_name"), F.col("content"))
         searched = questions if self.rewrite is None else questions.withColumn("query", self._rewritten(F.col("query")))
-        lexical = lambda: rank.Bm25(access.Authorized(allowed.df.select("doc_pos", text.alias("passage"))), self.settings).search(searched, wide)
+        by_words = lambda: self.lexical_index(access.Authorized(allowed.df.select("doc_pos", text.alias("passage"))), self._key("passages", roles, extra)).search(searched, wide)
 
         def dense():
             if self.embed is None:
@@ -54,13 +74,11 @@ class Engine:
             return rank.dense(access.Authorized(allowed.df.select("doc_pos", self.embed(F.col("content")).alias("vector"))), queries, wide, self.settings)
 
         if mode == "lexical":
-            hits = lexical().select("query_id", "doc_pos", "rank", "score", F.lit("bm25").alias("score_type"))
+            hits = by_words().select("query_id", "doc_pos", "rank", "score", F.lit("bm25").alias("score_type"))
         elif mode == "dense":
             hits = dense().select("query_id", "doc_pos", "rank", "score", F.lit("cosine_relevance").alias("score_type"))
         elif mode == "hybrid":
-            fused = rank.hybrid(dense(), lexical(), allowed.df.select("doc_pos", "content"), wide, self.settings)
-            first = allowed.df.groupBy("content").agg(F.min("doc_pos").alias("doc_pos"))
-            hits = fused.join(first, "content").select("query_id", "doc_pos", "rank", "score", "score_type")
+            hits = rank.hybrid(dense(), by_words(), allowed.df.select("doc_pos", "content"), wide, self.settings).select("query_id", "doc_pos", "rank", "score", "score_type")
         else:
             raise ValueError(f"unknown retrieval mode: {mode}")
         found = hits.join(questions.select("query_id", "query"), "query_id").join(allowed.df, "doc_pos").withColumn("passage", text)
@@ -92,7 +110,7 @@ class Engine:
         allowed = access.authorized(self.corpus, roles)
         text = passage(F.col("ticker"), F.col("section_name"), F.col("content"))
         index = allowed.df.select("doc_pos", text.alias("passage"), F.array(F.lit(""), F.coalesce("ticker", F.lit("?"))).alias("scopes"))
-        hits = rank.Bm25(access.Authorized(index), self.settings).search(legs, self.settings.candidate_k).select("query_id", "scope", "doc_pos")
+        hits = self.lexical_index(access.Authorized(index), self._key("legs", roles)).search(legs, self.settings.candidate_k).select("query_id", "scope", "doc_pos")
         found = hits.join(legs, ["query_id", "scope"]).join(allowed.df.withColumn("passage", text), "doc_pos")
         best = rank.rerank(found, k, self.scorer, ["query_id", "scope"])
         return rank.continued(written(rank.merge_legs(best, k), "hits"), allowed.df)
