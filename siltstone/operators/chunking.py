@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import fixed_chunks, is_table, prose_tail, sentences, stripped
 from .rank import dot, normalised
+from .scan import running
 
 #: Tried in turn: the first that occurs in a text splits it.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -77,18 +81,18 @@ def source_key() -> Column:
 
 
 def tagged(df: DataFrame, strategy: str, order: list[str]) -> DataFrame:
-    """df with chunking_strategy, chunk_index (from 0 in each source, in order) and char_count."""
-    place = F.row_number().over(Window.partitionBy(source_key()).orderBy(*order)) - 1
-    return df.withColumns({"chunking_strategy": F.lit(strategy), "chunk_index": place.cast("int"), "char_count": F.length("content")})
+    """df with chunking_strategy, chunk_index (from 0 in each source, in order) and char_count; a source may be of any size."""
+    place = (F.col("_n") - 1).cast("int")
+    out = running(df, [source_key()], order)
+    return out.withColumns({"chunking_strategy": F.lit(strategy), "chunk_index": place, "char_count": F.length("content")}).drop("_n")
 
 
 def with_captions(df: DataFrame, order: list[str]) -> DataFrame:
     """Tables opened by the last prose before them in the same source and section, by its name or, without one, its id."""
     section = F.coalesce(*[c for c in ("section_name", "section_id") if c in df.columns])
-    before = Window.partitionBy(source_key(), section).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     tail = prose_tail(F.col("content"))
-    caption = F.last(F.when(tail != "", tail), ignorenulls=True).over(before)
-    out = df.withColumn("_caption", F.when(is_table(F.col("content")), caption))
+    out = running(df, [source_key(), section], order, {"_caption": F.when(tail != "", tail)}).drop("_n")
+    out = out.withColumn("_caption", F.when(is_table(F.col("content")), F.col("_caption")))
     return out.withColumn("table_context", F.col("_caption").isNotNull()).withColumn(
         "content", F.when(F.col("_caption").isNotNull(), F.concat(F.lit("[Table — preceding text: …"), "_caption", F.lit("]\n\n"), "content")).otherwise(F.col("content"))
     ).drop("_caption")
@@ -128,6 +132,47 @@ def semantic_segments(df: DataFrame, embed, key: str = "doc_id", settings: Setti
     return islands.groupBy(key, "segment").agg(text.alias("content")).unionByName(single)
 
 
+def rolled(parts: list[str], counts: np.ndarray, percentile: float) -> list[str]:
+    """The segments of a text's sentences, from a row of token counts for each.
+
+    A window's counts are those of the window before, plus the sentence that comes in, less the one that
+    goes out: differences of running sums.
+    """
+    total = np.concatenate([np.zeros((1, counts.shape[1])), np.cumsum(counts, axis=0, dtype=np.float64)])
+    at = np.arange(len(parts))
+    wide = total[np.minimum(at + 2, len(parts))] - total[np.maximum(at - 1, 0)]
+    size = np.linalg.norm(wide, axis=1)
+    unit = wide / np.where(size > 0, size, 1)[:, None]
+    gaps = 1 - (unit[:-1] * unit[1:]).sum(axis=1)
+    cuts = np.flatnonzero(gaps > np.percentile(gaps, 100 * percentile) + 1e-12) + 1  # a gap at the percentile itself is none, however it was rounded
+    return [" ".join(parts[a:b]) for a, b in zip([0, *cuts], [*cuts, len(parts)])]
+
+
+def rolling_segments(df: DataFrame, embed, settings: Settings = DEFAULTS, size: int | None = None) -> DataFrame:
+    """df with parts, the semantic segments of its text, those over max_semantic_chars split to `size` characters.
+
+    For an embedder whose vectors add up (embed.counts(sentences)): one pass over each text where it lies,
+    in which neither sentences nor vectors leave their task. A text of fewer than two sentences is one
+    segment as it is; a blank or null one has none.
+    """
+    size = size or settings.chunk_size
+    told = df.withColumn("_sentences", sentences(F.col("text"))).withColumn("_blank", F.coalesce(stripped(F.col("text")) == "", F.lit(True)))
+
+    def run(batches):
+        for batch in batches:
+            text, parts, blank = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "_sentences", "_blank"))
+            out = []
+            for t, p, b in zip(text, parts, blank):
+                found = [] if b else rolled(p, embed.counts(p), settings.breakpoint_percentile) if len(p) > 1 else [t]
+                out.append([x for s in found for x in (split_recursively(s, size, settings.chunk_overlap) if len(s) > settings.max_semantic_chars else [s])])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in rest]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.string()))], names=[*rest, "parts"])
+
+    rest = [c for c in df.columns if c not in ("text", "parts")]
+    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField("parts", T.ArrayType(T.StringType()))])
+    return told.mapInArrow(run, schema)
+
+
 def chunk(df: DataFrame, strategy: str = "recursive", size: int | None = None, embed=None, settings: Settings = DEFAULTS) -> DataFrame:
     """Chunks of df (doc_id, text and provenance) with provenance, by strategy: fixed, recursive, semantic or table_context.
 
@@ -144,6 +189,9 @@ def chunk(df: DataFrame, strategy: str = "recursive", size: int | None = None, e
     elif strategy == "semantic":
         if embed is None:
             raise ValueError("semantic chunking needs an embedder")
+        if hasattr(embed, "counts"):
+            out = rolling_segments(df, embed, settings, size_).select(*rest, F.posexplode("parts").alias("_at", "content"))
+            return tagged(no_stubs(out, settings.min_chunk_chars), strategy, ["doc_id", "_at"]).drop("_at")
         parts = semantic_segments(df, embed, "doc_id", settings)
         split = recursive_chunks(size_, settings.chunk_overlap)
         pieces = F.when(F.length("content") > settings.max_semantic_chars, split("content")).otherwise(F.array("content"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import dataclass
 from functools import cache, lru_cache
 
 import numpy as np
@@ -43,6 +44,26 @@ def _hasher(size: int):
     return run
 
 
+@dataclass(frozen=True)
+class Hashed:
+    """The default embedder, whose vectors add up: that of texts put together with a space is the sum of theirs."""
+
+    size: int = 64
+
+    def __call__(self, text: Column) -> Column:
+        return hashed(text, self.size)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """A row of token counts by place for each text."""
+        token, places, row = re.compile(TOKEN), [], []
+        for k, t in enumerate(texts):
+            found = token.findall(t.lower())
+            places += map(_place, found)
+            row += [k] * len(found)
+        at = np.array(row, np.int64) * self.size + np.array(places, np.int64) % self.size
+        return np.bincount(at, minlength=len(texts) * self.size).reshape(len(texts), self.size)
+
+
 def hashed(text: Column, size: int = 64) -> Column:
     """The default embedding, standing where a model would: counts of tokens by the first 32 bits of their MD5, not yet normalised."""
     return _hasher(size)(text)

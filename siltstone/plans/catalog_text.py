@@ -57,7 +57,7 @@ def chunk_table_context(spark, d):
 
 @query()
 def chunk_semantic(spark, d):
-    return chunking.chunk(_source(spark, d), "semantic", embed=lambda t: vectors.hashed(t, 16)).select("doc_id", "chunk_index", "char_count")
+    return chunking.chunk(_source(spark, d), "semantic", embed=vectors.Hashed(16)).select("doc_id", "chunk_index", "char_count")
 
 
 @query("WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents) SELECT doc_id, len(s) AS n, sha256(array_to_string(s, chr(1))) AS h FROM p")
