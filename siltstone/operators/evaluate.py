@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import expected_tickers, figures, hit_rate
+from .order import selected
 from .stage import written
 
 # Markers of question types, the first that occurs counts.
@@ -139,9 +140,7 @@ def moved(a: DataFrame, b: DataFrame, k: int, key: str = "question", value: str
 
 def calibration(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(label, n, least, median, most) of known scores; the median of an even number is the upper one."""
-    known = df.filter(F.col(score).isNotNull())
-    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{score}` DESC)")
-    return known.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(score).alias("least"), median.alias("median"), F.max(score).alias("most"))
+    return selected(df, label, score, lambda n: F.floor(n / 2)).withColumnRenamed("selected", "median")
 
 
 def thresholds(df: DataFrame, inside: str, outside: str, label: str = "label", score: str = "score") -> DataFrame:
@@ -270,13 +269,16 @@ def judged(results: DataFrame, scores: DataFrame, metrics: list[str], key: str =
     return means(each, metrics), each
 
 
-def check_comparable(a: dict, b: dict, corpus_a=None, corpus_b=None, force: bool = False) -> list[str]:
-    """What makes two runs' configurations incomparable; raises ValueError with it unless forced."""
-    problems = [f"different corpus: {corpus_a} vs {corpus_b}"] if corpus_a != corpus_b else []
-    problems += [f"different {k}: {a.get(k)!r} vs {b.get(k)!r}" for k in INCOMPARABLE if a.get(k) != b.get(k)]
-    if problems and not force:
-        raise ValueError("these runs are not comparable: " + "; ".join(problems))
-    return problems
+def incomparable(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(key, a, b): settings in which two runs (key, value) may not differ if their scores are to be compared, and do. The corpus's digest counts as one, under `corpus`."""
+    return config_delta(a, b).filter(F.col("key").isin("corpus", *INCOMPARABLE)).orderBy("key")
+
+
+def require_comparable(a: DataFrame, b: DataFrame) -> None:
+    """Raises ValueError with the settings in which two runs may not differ and do."""
+    apart = [r["key"] for r in incomparable(a, b).collect()]  # a fixed list of keys
+    if apart:
+        raise ValueError(f"scores of runs that differ in {', '.join(apart)} can't be compared")
 
 
 def config_delta(a: DataFrame, b: DataFrame) -> DataFrame:

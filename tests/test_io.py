@@ -93,13 +93,13 @@ def test_roles_and_sections_of_filings(spark):
     assert access.may_read({"admin"}, "anything") and access.may_read({"viewer"}, "general") and not access.may_read({"research"}, "trading") and not access.may_read(set(), "general")
 
 
-def test_runs_that_cannot_be_compared():
-    assert evaluate.check_comparable({"judge_model": "a", "top_k": 5}, {"judge_model": "a", "top_k": 9}) == []
-    with pytest.raises(ValueError, match="judge_model"):
-        evaluate.check_comparable({"judge_model": "a"}, {"judge_model": "b"})
-    with pytest.raises(ValueError, match="corpus"):
-        evaluate.check_comparable({}, {}, {"n": 1}, {"n": 2})
-    assert len(evaluate.check_comparable({"judge_model": "a"}, {}, 1, 2, force=True)) == 2
+def test_runs_that_cannot_be_compared(spark):
+    run = lambda **x: spark.createDataFrame(list(x.items()), "key string, value string")
+    evaluate.require_comparable(run(judge_model="a", top_k="5"), run(judge_model="a", top_k="9"))
+    with pytest.raises(ValueError, match="corpus, judge_model"):
+        evaluate.require_comparable(run(judge_model="a", corpus="1"), run(judge_model="b", corpus="2", top_k="3"))
+    apart = evaluate.incomparable(run(judge_model="a", top_k="5"), run(top_k="9"))
+    assert [tuple(r) for r in apart.collect()] == [("judge_model", "a", None)]
     assert [evaluate.weight_ratio(*x) for x in ((0.7, 0.3), (1, 0), (0, 0))] == ["2.333:1", "dense_only", "none"]
 
 
