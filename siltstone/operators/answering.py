@@ -10,6 +10,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import answers as A
 from ..functions.entities import is_ambiguous
 from ..functions.text import describe, sentences, stripped
+from .boundary import Model, asked
 from .stage import written
 
 # Marks of citations and of list items.
@@ -137,11 +138,15 @@ def numbered(hits: DataFrame) -> DataFrame:
     return contexts(blocks).join(depth, "query_id")
 
 
+#: What the default generator says where it has nothing to say, and what stands for an answer that failed.
+REFUSAL = "I don't have enough information in the available documents to answer this question."
+
+
 def extract_answer(question: Column, context: Column) -> Column:
     """The default generator: the first block's first sentence, cited before its end."""
     block = F.regexp_replace(F.get(F.split(context, r"\n\n---\n\n(?=\[\d+\] \()"), F.lit(0)), r"^\[1\] \([^\n]*\)\n", "")
     first = F.get(sentences(block), F.lit(0))
-    return F.when(first.isNotNull(), F.regexp_replace(first, r"(?s)^(.*?)\s*([.?!]*)$", "$1 [1]$2")).otherwise(F.lit("I don't have enough information in the available documents to answer this question."))
+    return F.when(first.isNotNull(), F.regexp_replace(first, r"(?s)^(.*?)\s*([.?!]*)$", "$1 [1]$2")).otherwise(F.lit(REFUSAL))
 
 
 def grounded(questions: DataFrame, hits: DataFrame, generate=extract_answer, settings: Settings = DEFAULTS, judge=None) -> DataFrame:
@@ -149,17 +154,28 @@ def grounded(questions: DataFrame, hits: DataFrame, generate=extract_answer, set
 
     Ambiguous questions and those whose retrieval confidence is below the gate are split off before
     the generator, which never sees them; an unknown retrieval confidence passes the gate. The
-    generator reads the question and all its passages as numbered blocks. With a judge each citation
+    generator reads the question and all its passages as numbered blocks; where it is a Model, an answer
+    that fails is a refusal. With a judge each citation
     is held against its block, and accuracy is the mean worth of the verdicts; without one, or without
     citations, it is null.
     """
-    rated = questions.join(retrieval_confidence(hits), "query_id", "left")
+    asks = questions.join(retrieval_confidence(hits), "query_id", "left")
     state = F.when(is_ambiguous(F.col("query")), "ambiguous_entity").when(F.col("retrieval") < settings.gate, "low_retrieval_confidence").otherwise("open")
-    rated = rated.withColumn("status", state)
-    shut = rated.filter("status != 'open'").select("query_id", "status", F.lit(None).cast("string").alias("answer"), "retrieval", F.lit(0).cast("long").alias("documents"))
-    open_ = rated.filter("status = 'open'").join(numbered(hits), "query_id", "left")
-    answered = open_.select("query_id", "status", generate(F.col("query"), F.coalesce("context", F.lit(""))).alias("answer"), "retrieval", F.coalesce("documents", F.lit(0)).alias("documents"))
+    asks = asks.withColumn("status", state)
+    shut = asks.filter("status != 'open'").select("query_id", "status", F.lit(None).cast("string").alias("answer"), "retrieval", F.lit(0).cast("long").alias("documents"))
+    open_ = asks.filter("status = 'open'").join(numbered(hits), "query_id", "left")
+    open_ = open_.withColumn("context", F.coalesce("context", F.lit("")))
+    if isinstance(generate, Model):
+        open_ = asked(open_, generate, ["query", "context"], "answer").withColumn("answer", F.coalesce("answer", F.lit(REFUSAL)))
+    else:
+        open_ = open_.withColumn("answer", generate(F.col("query"), F.col("context")))
+    answered = open_.select("query_id", "status", "answer", "retrieval", F.coalesce("documents", F.lit(0)).alias("documents"))
     both = written(answered, "generated").unionByName(shut)  # written, so that a generator is asked once
+    return rated(both, hits, judge)
+
+
+def rated(both: DataFrame, hits: DataFrame, judge=None) -> DataFrame:
+    """The columns of grounded() for answers (query_id, status, answer, retrieval, documents) that were made from hits."""
     found = claims(both.withColumn("answer", F.coalesce("answer", F.lit(""))))
     scored = both.join(coverage(found, both), "query_id")
     complete = F.when(F.col("answer").isNull(), 0.0).otherwise(A.completeness(F.col("answer"), F.col("claims"), F.col("cited")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import entities, guard
 from ..functions.answers import relevance
 from ..functions.text import passage, stripped
-from ..operators import access, answering, evaluate, lexical, rank
+from ..operators import access, answering, boundary, evaluate, lexical, rank, recovery
 from ..operators.stage import shared_path, written
 
 
@@ -21,7 +21,9 @@ class Engine:
 
     embed, scorer, generate, judge, rewrite and rephrase stand where models do; the defaults are
     deterministic expressions. generate reads the question and all its numbered blocks; judge is asked
-    where verification is; rephrase words a refused question anew for another search.
+    where verification is; rephrase words a refused question anew for another search. rewrite and generate
+    may be Models, whose failures stay with their rows; choose, a Model, picks the tools of recover().
+    keep_question puts the question before what a Model rewrites it to.
     """
 
     corpus: DataFrame
@@ -33,6 +35,8 @@ class Engine:
     rephrase: object = None
     settings: Settings = field(default_factory=lambda: DEFAULTS)
     index_root: str | None = None
+    keep_question: bool = False
+    choose: boundary.Model | None = None
     _indexes: dict = field(default_factory=dict, init=False, repr=False)
 
     def lexical_index(self, corpus: access.Authorized, key: str) -> lexical.KeptBm25:
@@ -64,7 +68,7 @@ class Engine:
         wide = self.settings.candidate_k if reranked else k
         allowed = access.authorized(self.corpus, roles, extra)
         text = passage(F.col("ticker"), F.col("section_name"), F.col("content"))
-        searched = questions if self.rewrite is None else questions.withColumn("query", self._rewritten(F.col("query")))
+        searched = self._searched(questions)
         by_words = lambda: self.lexical_index(access.Authorized(allowed.df.select("doc_pos", text.alias("passage"))), self._key("passages", roles, extra)).search(searched, wide)
 
         def dense():
@@ -90,10 +94,14 @@ class Engine:
             best = found.withColumn("relevance", relevance(F.col("score"), F.col("score_type"))).filter(F.col("rank") <= k)
         return rank.continued(written(best, "hits"), allowed.df)
 
-    def _rewritten(self, query: Column) -> Column:
-        """What the rewriter makes of a question; the question itself where that is nothing."""
-        new = self.rewrite(query)
-        return F.when(stripped(F.coalesce(new, F.lit(""))) != "", new).otherwise(query)
+    def _searched(self, questions: DataFrame) -> DataFrame:
+        """questions as the rewriter words them; a question itself where the rewriter gives nothing, or, as a Model, fails."""
+        if self.rewrite is None:
+            return questions
+        if isinstance(self.rewrite, boundary.Model):
+            return written(boundary.rewritten(questions, self.rewrite, self.keep_question).drop("rewrite_error"), "rewritten")
+        new = self.rewrite(F.col("query"))
+        return questions.withColumn("query", F.when(stripped(F.coalesce(new, F.lit(""))) != "", new).otherwise(F.col("query")))
 
     def by_entity(self, questions: DataFrame, roles: set[str], k: int | None = None) -> DataFrame:
         """Lexical retrieval for each company that a question names, with the question scoped to it, merged; unfiltered where it names none.
@@ -142,6 +150,37 @@ class Engine:
         away = checked.filter("turned IS NOT NULL").select("query_id", F.col("turned").alias("status"))
         return done.unionByName(away, allowMissingColumns=True)
 
+    def recover(self, refused: DataFrame, first: DataFrame, roles: set[str], turns: int = recovery.TURNS) -> tuple[DataFrame, DataFrame]:
+        """A second attempt at refused questions (query_id, query) within the same roles: what each did, and its rated answer where it has one.
+
+        first: the hits of the first attempt (see retrieve()), whose confidence stays.
+        """
+        searches: list[DataFrame] = []
+
+        def search(asks: DataFrame) -> DataFrame:
+            searches.append(written(self.retrieve(asks, roles), "hits"))
+            return answering.numbered(searches[-1]).select("query_id", "context")
+
+        sections = evaluate.sections_of(access.authorized(self.corpus, roles).df)
+        did = recovery.recovered(refused, answering.numbered(first), self.choose, search, sections, turns)
+        told = did.filter("stopped_because = 'answered'").join(answering.retrieval_confidence(first), "query_id", "left")
+        hits = first.withColumn("search_id", F.lit(None).cast("string"))
+        for found in searches:
+            owner = F.element_at(F.split("query_id", ":"), 1).cast(first.schema["query_id"].dataType)
+            hits = hits.unionByName(found.withColumn("search_id", F.col("query_id")).withColumn("query_id", owner), allowMissingColumns=True)
+        own = hits.alias("h").join(told.select("query_id", "search_id").alias("t"), (F.col("h.query_id") == F.col("t.query_id")) & F.col("h.search_id").eqNullSafe(F.col("t.search_id"))).select("h.*")
+        depth = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"))
+        both = told.join(depth, "query_id", "left").select("query_id", F.lit("open").alias("status"), "answer", "retrieval", F.coalesce("documents", F.lit(0)).alias("documents"))
+        return did, answering.rated(written(both, "recovered"), own)
+
+    def probe_refusals(self, questions: DataFrame, roles: set[str]) -> DataFrame:
+        """(query_id, confidence, refused, answer) with the gate open: every question reaches the generator, so that its own refusals are counted."""
+        asked = questions.select("query_id", "query")
+        hits = self.retrieve(asked, roles)
+        settings = replace(self.settings, gate=-1.0)
+        out = answering.grounded(asked, hits, self.generate, settings)
+        return out.select("query_id", F.coalesce("retrieval", F.lit(0.0)).alias("confidence"), (F.col("status") == "model_refused").alias("refused"), "answer")
+
     def compare(self, tickers: list[str], topic: str, roles: set[str]) -> DataFrame:
         """One comparative question about several companies, answered."""
         spark = self.corpus.sparkSession
