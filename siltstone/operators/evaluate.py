@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import expected_tickers, figures, hit_rate
+from .names import held
 from .order import selected
 from .stage import written
 
@@ -184,21 +185,10 @@ def by_question(questions: DataFrame, *scores: DataFrame, key: str = "question_n
     return questions
 
 
-def contains_evidence(probes: DataFrame, chunks: DataFrame, key: str = "doc_pos") -> DataFrame:
-    """probes (probe_id, ticker, evidence) with found: whether some chunk (key, ticker, content) holds the evidence in any case.
-
-    Evidence stands only in chunks that hold its longest inner word; only short evidence, without one,
-    is looked for in every chunk of its ticker.
-    """
-    words = lambda x: F.split(F.lower(x), "[^a-z0-9]+")
-    inner = F.filter(F.slice(words(F.col("evidence")), F.lit(2), F.greatest(F.size(words(F.col("evidence"))) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    asked = probes.withColumn("_word", longest["w"])
-    held = chunks.select(key, "ticker", F.explode(F.array_distinct(words(F.col("content")))).alias("_word"))
-    near = held.join(asked.filter(F.col("_word").isNotNull()).select("probe_id", "ticker", "_word", "evidence"), ["ticker", "_word"]).select(key, "probe_id", "evidence")
-    far = asked.filter(F.col("_word").isNull()).join(chunks.select(key, "ticker"), "ticker").select(key, "probe_id", "evidence")
-    hit = near.unionByName(far).join(chunks.select(key, "content"), key).filter(F.contains(F.lower("content"), F.lower("evidence")))
-    return probes.join(hit.select("probe_id").distinct().withColumn("found", F.lit(True)), "probe_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+def contains_evidence(probes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """probes (probe_id, ticker, evidence) with found: whether some chunk (ticker, content) of the ticker holds the evidence in any case."""
+    hit = held(probes, chunks).withColumn("found", F.lit(True))
+    return probes.join(hit, "probe_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def basic_evaluation(rows: DataFrame) -> DataFrame:

@@ -165,13 +165,15 @@ def chunk_description(spark, d):
     return plain(spark, d).select("doc_pos", T.describe(t, none, dt, s, c("source_file")).alias("chunk"), T.describe(t, none, dt, None, c("source_file")).alias("filing"))
 
 
-@query(f"""WITH {C}, r AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY doc_pos) AS rk FROM c),
- b AS (SELECT source_file, rk, '[' || rk || '] (Source: ' || source_file || ', Department: ' || department || ', Company: ' || ticker || ', Filing: 10-K, Section: ' || section_name || ', Date: ' || filing_date || ')' || chr(10) || substr(content, 1, 300) AS block FROM r WHERE rk <= 5)
- SELECT source_file AS query_id, sha256(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rk)) AS h FROM b GROUP BY source_file""")
+@query(f"""WITH {C}, r AS (SELECT *, source_file || '/' || (chunk_index // 5) AS query_id, chunk_index % 5 + 1 AS rk FROM c),
+ b AS (SELECT query_id, rk, '[' || rk || '] (Source: ' || source_file || ', Department: ' || department || ', Company: ' || ticker || ', Filing: 10-K, Section: ' || section_name || ', Date: ' || filing_date || ')' || chr(10) || content AS block FROM r)
+ SELECT query_id, sha256(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rk)) AS h FROM b GROUP BY query_id""")
 def context_blocks(spark, d):
-    rows = corpus(spark, d).filter("chunk_index < 5").withColumn("rank", c("chunk_index") + 1)
+    """Every five chunks of a source that follow one another as a question's passages."""
+    n = c("chunk_index")
+    rows = corpus(spark, d).withColumns({"query_id": F.concat_ws("/", "source_file", F.floor(n / 5).cast("string")), "rank": n % 5 + 1})
     labels = {"Source": c("source_file"), "Department": c("department"), "Company": c("ticker"), "Filing": c("filing_type"), "Section": c("section_name"), "Date": c("filing_date")}
-    blocks = rows.select(c("source_file").alias("query_id"), "rank", answering.context_block(c("rank"), labels, F.substring("content", 1, 300)).alias("block"))
+    blocks = rows.select("query_id", "rank", answering.context_block(c("rank"), labels, c("content")).alias("block"))
     return answering.contexts(blocks).select("query_id", F.sha2("context", 256).alias("h"))
 
 
@@ -414,14 +416,14 @@ def failure_classification(spark, d):
     return table(spark, d, "events").select("event_id", A.failure(text).alias("failure"))
 
 
-@query("WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w, regexp_split_to_array(lower(substr(text, 1, 120)), '\\s+') AS a FROM benchmark) SELECT item_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, a)) / len(w) END, 6) AS overlap FROM w")
+@query("WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w, regexp_split_to_array(lower(reverse(text)), '\\s+') AS a FROM benchmark) SELECT item_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, a)) / len(w) END, 6) AS overlap FROM w")
 def keyword_overlap(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.round(evaluate.keyword_overlap(c("text"), F.substring("text", 1, 120)), 6).alias("overlap"))
+    return table(spark, d, "benchmark").select("item_id", F.round(evaluate.keyword_overlap(c("text"), F.reverse("text")), 6).alias("overlap"))
 
 
-@query(f"WITH {C}, p AS (SELECT item_id AS probe_id, ['AAPL','JPM','TSLA','MSFT','GS'][item_id % 5 + 1] AS ticker, substr(text, 1, 60) AS evidence FROM benchmark) SELECT probe_id, ticker, EXISTS (SELECT 1 FROM c WHERE c.ticker = p.ticker AND contains(lower(c.content), lower(p.evidence))) AS found FROM p")
+@query(f"WITH {C}, p AS (SELECT item_id AS probe_id, ['AAPL','JPM','TSLA','MSFT','GS'][item_id % 5 + 1] AS ticker, text AS evidence FROM benchmark) SELECT probe_id, ticker, EXISTS (SELECT 1 FROM c WHERE c.ticker = p.ticker AND contains(lower(c.content), lower(p.evidence))) AS found FROM p")
 def evidence_containment(spark, d):
-    probes = table(spark, d, "benchmark").select(c("item_id").alias("probe_id"), F.element_at(F.array(*map(F.lit, TICKERS)), (c("item_id") % 5 + 1).cast("int")).alias("ticker"), F.substring("text", 1, 60).alias("evidence"))
+    probes = table(spark, d, "benchmark").select(c("item_id").alias("probe_id"), F.element_at(F.array(*map(F.lit, TICKERS)), (c("item_id") % 5 + 1).cast("int")).alias("ticker"), c("text").alias("evidence"))
     return evaluate.contains_evidence(probes, plain(spark, d)).select("probe_id", "ticker", "found")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import answers as A
 from ..functions import entities, guard
 from ..functions import text as T
-from ..operators import answering, chunking, filings, rank, vectors
+from ..operators import answering, chunking, filings, names, rank, vectors
 from ..streaming import audit, limits
 from .catalog import C, corpus, plain, query, table
 
@@ -192,9 +192,9 @@ def figures_extract(spark, d):
     return docs(spark, d).select("doc_id", T.figures(c("text")).alias("figures"))
 
 
-@query(f"WITH f AS (SELECT doc_id, {_FIG} AS f, substr(text, 1, 1000) AS b FROM documents) SELECT doc_id, round(CASE WHEN len(f) > 0 THEN len(list_filter(f, lambda x: contains(b, x) OR contains(b, replace(x, ',', '')))) / len(f) END, 6) AS hit_rate FROM f")
+@query(f"WITH f AS (SELECT doc_id, {_FIG} AS f, reverse(text) AS b FROM documents) SELECT doc_id, round(CASE WHEN len(f) > 0 THEN len(list_filter(f, lambda x: contains(b, x) OR contains(b, replace(x, ',', '')))) / len(f) END, 6) AS hit_rate FROM f")
 def hit_rate(spark, d):
-    return docs(spark, d).select("doc_id", F.round(T.hit_rate(c("text"), F.substring("text", 1, 1000)), 6).alias("hit_rate"))
+    return docs(spark, d).select("doc_id", F.round(T.hit_rate(c("text"), F.reverse("text")), 6).alias("hit_rate"))
 
 
 @query("SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\b[A-Z]{1,5}\\b'), lambda x: x <> 'K'))) AS tickers FROM documents WHERE lang = 'en'")
@@ -228,6 +228,12 @@ def entity_detect(spark, d):
     return asked(spark, d).select("query_id", entities.detect(c("query")).alias("entities"))
 
 
+@query(f"WITH {_NAMED} SELECT query_id, entities FROM e")
+def entity_detect_names(spark, d):
+    """entity_detect by the automaton that any number of names share."""
+    return names.mentioned(asked(spark, d), names.register(spark), "query").select("query_id", "entities")
+
+
 @query(f"WITH {_NAMED} SELECT query_id, len(entities) = 0 AND (regexp_matches(query, '{entities.DEFINITE}') OR (regexp_matches(query, '{entities.METRIC}') AND len(list_filter(regexp_split_to_array(trim(query), '\\s+')[2:], lambda w: regexp_matches(w, '^\\p{{Lu}}'))) = 0)) AS ambiguous FROM e")
 def ambiguity(spark, d):
     return asked(spark, d).select("query_id", entities.is_ambiguous(c("query")).alias("ambiguous"))
