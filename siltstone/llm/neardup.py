@@ -10,9 +10,10 @@ similarity, 1 - distance / longer length, is 0.8 or more.
 Equal texts are one node throughout. In the buckets of a few early sketches the texts are aligned with
 one of them, the leader, which joins a large group of copies in one pass. Then, in each bucket with at
 most CROWD texts outside its largest class, all pairs of different classes are tested. Buckets with
-more are crowds that share a passage rather than a text. Their texts are dealt anew: k-mers that more
-than CROWD of these texts hold are left out, and sketches are drawn from all their other k-mers, until
-no crowd is left, or its texts share no such k-mer; then all its pairs are tested after all. So no text
+more are crowds that share a passage rather than a text. Their texts are dealt anew: k-mers and words
+that more than CROWD of these texts hold are left out, and sketches are drawn from all their other
+k-mers and from the words outside of common k-mers, until no crowd is left, or its texts share nothing
+of that kind; then all its pairs are tested after all. So no text
 leaves unseen, and pairs are not made within a large class. Classes are the connected components of
 what matched.
 
@@ -133,6 +134,23 @@ def uncommon(line: bytes, common: np.ndarray | None) -> np.ndarray:
     return marked[common[np.minimum(np.searchsorted(common, x), len(common) - 1)] != x]
 
 
+def uncovered(line: bytes, common: np.ndarray) -> np.ndarray:
+    """The hashes of the words that no k-mer in `common` covers, in order, and that aren't in it themselves."""
+    h, x = hashes(line), kmers(line)
+    if not len(common) or not len(h):
+        return h
+    at = np.flatnonzero(_among(x, common))
+    covered = np.zeros(len(h) + K, np.int64)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + K, -1)
+    left = h[np.cumsum(covered)[: len(h)] == 0]
+    return left[~_among(left, common)]
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
 def marked(found: np.ndarray) -> np.ndarray:
     """Sketches whose lowest bit says whether they are among the EARLY ones."""
     return np.concatenate((found[:EARLY] | np.uint64(1), found[EARLY:] & ~np.uint64(1)))
@@ -357,13 +375,14 @@ def _shared(found: DataFrame) -> DataFrame:
 
 
 def _common(lines: DataFrame, known: np.ndarray) -> np.ndarray:
-    """Up to COMMON_KMERS k-mers, besides the known ones, that more than CROWD of the lines (node, text) hold."""
+    """Up to COMMON_KMERS k-mers and words outside of known k-mers, besides the known ones, that more than CROWD of the lines (node, text) hold."""
     shared = lines.sparkSession.sparkContext.broadcast(known)
 
     def count(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 100):
-                found = [np.unique(kmers(normal(x))) for x in texts(batch.slice(a, 100))]
+                lines_ = [normal(x) for x in texts(batch.slice(a, 100))]
+                found = [np.unique(np.concatenate((kmers(x), uncovered(x, shared.value)))) for x in lines_]
                 ids, n = np.unique(np.concatenate(found), return_counts=True)
                 new = ~np.isin(ids, shared.value, assume_unique=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[new].view(np.int64)), pa.array(n[new].astype(np.int64))], names=["kmer", "n"])
@@ -374,15 +393,23 @@ def _common(lines: DataFrame, known: np.ndarray) -> np.ndarray:
 
 
 def _dealt_anew(lines: DataFrame, common: np.ndarray, level: int) -> DataFrame:
-    """(node, n, s0, s1, sketch) of the lines (node, text), by two draws from the k-mers that aren't common."""
+    """(node, n, s0, s1, sketch) of the lines (node, text): a draw from the k-mers that aren't common, and two from the words outside of common ones.
+
+    Where most of a text is a passage that a crowd shares, all edits may stand in the rest, and close
+    together; words, k-mers of length one, survive there more often than longer ones.
+    """
     shared = lines.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("node"))
             words = [normal(x) for x in texts(batch)]
-            own = [uncommon(x, shared.value) for x in words]
-            yield sketched([ids], ["node"], words, [marked(np.concatenate((picked(x, 2 * level), picked(x, 2 * level + 1)))) for x in own])
+            found = []
+            for x in words:
+                left = uncovered(x, shared.value)
+                rest = labelled(left) if len(left) else left
+                found.append(marked(np.concatenate((picked(uncommon(x, shared.value), 3 * level), picked(rest, 3 * level + 1), picked(rest, 3 * level + 2)))))
+            yield sketched([ids], ["node"], words, found)
 
     return mapped(lines.select("node", "text"), run, f"node binary, {SKETCHED}")
 

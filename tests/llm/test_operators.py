@@ -474,3 +474,34 @@ def test_media(docs, empty):
     clips = media.clips(stored).filter("doc_id = 5").orderBy("clip").collect()
     assert clips[0]["start_s"] == 0 and clips[-1]["first_frame"] + clips[-1]["n_frames"] == -(-len(LONG) // 4096)
     assert media.digest(media.with_media(empty.select("doc_id", "text"))).count() == 0
+
+
+@pytest.mark.parametrize("n", [40, 320])
+def test_crowds_keep_links_whose_edits_stand_outside_the_shared_passage(spark, n):
+    """Pairs that share a quarter, half or three quarters of their words with a whole crowd, all edits in the rest: 0.9 are found."""
+    rng = np.random.default_rng(5)
+    rows, pairs = [], []
+    for share in (25, 50, 75):
+        for similar in (0.85, 0.91):
+            passage = [f"g{share}{similar}p{k}" for k in range(share)]
+            for i in range(n - 10):
+                tail = [f"w{x}" for x in rng.integers(0, 10**6, 100 - share)]
+                rows.append(tail + passage)
+                if i < 10:
+                    for k in rng.choice(100 - share, round(100 * (1 - similar)), replace=False):
+                        tail[k] = f"e{rng.integers(0, 10**6)}"
+                    pairs.append((len(rows) - 1, len(rows)))
+                    rows.append(tail + passage)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    assert np.mean([got[a] == got[b] for a, b in pairs]) >= 0.9
+    assert len(set(got.values())) == len(rows) - sum(got[a] == got[b] for a, b in pairs)  # nothing else is linked
+
+
+def test_words_outside_of_common_kmers():
+    line = b"a b c d e f g h"
+    x = neardup.kmers(line)
+    h = neardup.word_hashes(line)
+    assert (neardup.uncovered(line, np.sort(x[:1])) == h[5:]).all()
+    assert (neardup.uncovered(line, np.sort(np.concatenate((x[1:2], h[7:])))) == h[[0, 6]]).all()
+    assert (neardup.uncovered(line, np.empty(0, np.uint64)) == h).all() and not len(neardup.uncovered(b"", np.sort(x)))
