@@ -33,6 +33,15 @@ def test_toxicity_held_out(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.9
 
 
+def test_toxic_texts_are_found_and_clean_ones_left_alone(spark):
+    """Recall and false alarms, which a share of right answers hides where most texts are clean."""
+    at = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    held = [r for r in queries.op5_toxicity(spark, at).collect() if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = ([r["predicted"] for r in held if truth[r["doc_id"]] == k] for k in (1, 0))
+    assert len(toxic) > 50 and np.mean(toxic) > 0.85 and np.mean(clean) < 0.01
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     held = [r for r in queries.op2_lm_score(spark, SF).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
