@@ -119,6 +119,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """df with its columns named c0, c1 and so on, the new name of each, and the columns that bring the old names back.
+
+    An operator that adds columns of its own to such rows can't clash with what the table holds.
+    """
+    new = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), new, [F.col(n).alias(c) for c, n in new.items()]
+
+
 def widened(df: DataFrame, names: list[str], more: str) -> T.StructType:
     """The schema of df's columns `names`, with the columns of the DDL text `more` after them."""
     return T.StructType([df.schema[n] for n in names] + T.StructType.fromDDL(more).fields)

@@ -4,7 +4,10 @@ Every line and every paragraph (lines between blank ones) is a block, a set of w
 template. A block matches where it holds at least `threshold` of the template's words. Words are
 ordered by how many documents hold them, over the whole corpus, rarest first: a match must hold one
 of the template's first |T| - need + 1 words (prefix filter), have at least `need` words (length
-filter), and at each common word leave room for the rest (positional filter).
+filter), and at each common word leave room for the rest (positional filter). What the join finds is
+then held against the block's text: that share of the template's words must stand there in order,
+within no more than |T| / threshold words, so that scattered words and a notice with further terms
+("nc") are no match; and a template whose words another one of the same place holds too, and more, goes.
 
 Defined results: null is the empty text, with no words, places or labels and score 0; ties in
 document frequency are broken by the word; repeated rows each get their own result; an empty table
@@ -31,6 +34,9 @@ TEMPLATES = {
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-4.0": "licensed under cc by 4 0",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
+    "cc-by-nc-nd-4.0": "licensed under cc by nc nd 4 0",
+    "cc-by-nc-sa-4.0": "licensed under cc by nc sa 4 0",
+    "cc-by-nd-4.0": "licensed under cc by nd 4 0",
     "cc-by-sa-4.0": "licensed under cc by sa 4 0",
     "cc0-1.0": "to the extent possible under law the author has waived all copyright and related rights to this work",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
@@ -77,6 +83,32 @@ def blocks(text: bytes) -> list[bytes]:
     return out
 
 
+def in_order(block: list[bytes], template: list[bytes], threshold: float) -> list[tuple[int, int, float]]:
+    """(start, end, share) of the windows of |template| / threshold words of the block that hold at least that share of the template in order."""
+    width, need = int(len(template) / threshold + 1e-9), max(1, math.ceil(threshold * len(template) - 1e-9))
+    mask: dict[bytes, int] = {}
+    for k, w in enumerate(template):
+        mask[w] = mask.get(w, 0) | 1 << k
+    hits = [0]
+    for w in block:
+        hits.append(hits[-1] + (w in mask))
+    full, out = (1 << len(template)) - 1, []
+    for a, w in enumerate(block):
+        z = min(len(block), a + width)
+        if w not in mask or hits[z] - hits[a] < need:
+            continue
+        row, end, most = full, a, 0  # longest common subsequence, a bit for each word of the template
+        for b in range(a, z):
+            both = row & mask.get(block[b], 0)
+            row = ((row + both) | (row - both)) & full
+            n = len(template) - row.bit_count()
+            if n > most:
+                most, end = n, b + 1
+        if most >= need:
+            out.append((a, end, most / len(template)))
+    return out
+
+
 class Join:
     """The templates, indexed by their prefixes under a global order of words."""
 
@@ -84,6 +116,7 @@ class Join:
         self.frequency, self.threshold = frequency, threshold
         self.index: dict[bytes, list[tuple[str, int]]] = {}
         self.sorted: dict[str, list[bytes]] = {}
+        self.wording = {name: wording.encode().split() for name, wording in templates.items()}
         self.need: dict[str, int] = {}
         for name, wording in templates.items():
             t = sorted(set(wording.encode().split()), key=self.rank)
@@ -119,12 +152,24 @@ class Join:
                     out.append((name, common / len(t)))
         return out
 
+    def verified(self, block: list[bytes]) -> list[tuple[str, float]]:
+        """The matches of the block whose words stand in order, without what lies within a match of more words; the share is that in order."""
+        at = {name: in_order(block, self.wording[name], self.threshold) for name, _ in self.match(block)}
+        out = []
+        for name, places_ in at.items():
+            mine = set(self.wording[name])
+            larger = [p for other, ps in at.items() if mine < set(self.wording[other]) for p in ps]
+            own = [s for a, z, s in places_ if not any(x < z and a < y for x, y, _ in larger)]
+            if own:
+                out.append((name, max(own)))
+        return out
+
     def scan(self, text: bytes, found: list[bytes] | None = None) -> list[tuple[str, float]]:
         if self.prefixes.isdisjoint(words(text) if found is None else found):
             return []
         best: dict[str, float] = {}
         for block in blocks(text):
-            for name, share in self.match(words(block)):
+            for name, share in self.verified(words(block)):
                 best[name] = max(best.get(name, 0.0), share)
         return sorted(best.items())
 

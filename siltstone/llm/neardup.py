@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mapped, mixed, staged, texts, widened, word_hashes
+from .common import mapped, mixed, numbered, staged, texts, widened, word_hashes
 
 K = 5
 #: Sketches of a text in each of two draws, and k-mers in a sketch. At edit similarity 0.8, by scattered
@@ -493,10 +493,15 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """df's rows without near duplicates: of each class the row with the smallest key stays (of equal keys, one)."""
-    keep = classes(df, key, text, threshold).filter("kept").groupBy(F.col(key).alias("_k"), "_h").agg(F.count(F.lit(1)).alias("_times"))
+    """df's rows without near duplicates: of each class the row with the smallest key stays (of equal keys, one).
+
+    Other columns come back as they are, whatever their names.
+    """
+    rows, new, back = numbered(df)
+    key, text = new[key], new[text]
+    keep = classes(rows, key, text, threshold).filter("kept").groupBy(F.col(key).alias("_k"), "_h").agg(F.count(F.lit(1)).alias("_times"))
     keep = staged(keep, "kept")
-    rows = df.withColumn("_hash", F.xxhash64(text))
+    rows = rows.withColumn("_hash", F.xxhash64(text))
     both = rows.join(keep, rows[key].eqNullSafe(keep["_k"]) & (rows["_hash"] == keep["_h"]))
     once, more = both.filter("_times = 1"), both.filter("_times > 1").dropDuplicates([key, "_hash"])
-    return once.unionByName(more).select(*[F.col(f"`{c}`") for c in df.columns])
+    return once.unionByName(more).select(*back)

@@ -1,6 +1,8 @@
 """Plain Python parts against brute force."""
 
 import hashlib
+import re
+import time
 
 import numpy as np
 import pytest
@@ -102,6 +104,26 @@ def test_pages_by_class():
     assert pages.read(page) == (["body"], [], ["me too", "x", "y"])
 
 
+@pytest.mark.parametrize("markup", [
+    '<h2 id="search">Search for meaning</h2>', '<h2 class="share">Share of votes</h2>', '<section class="related-work">Related work</section>', '<section id="navigation">Navigation</section>',
+    '<div class="form-of-life">A form of life</div>', '<blockquote class="share-quote">A quote</blockquote>', '<p class="copyright">Copyright law</p>', '<li id="comments">Comments on the text</li>',
+])
+def test_what_an_article_tells_about_stays(markup):
+    assert pages.read(f"<article><p>one</p>{markup}<p>two</p></article>")[0] == ["one", re.sub("<[^>]*>", "", markup), "two"]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "adBox", "comments", "comment-list", "post-comments", "related-posts", "share-buttons", "newsletter-signup", "social-media-links", "x y sidebar", "div-gpt-ad-7", "notice", "cookieNotice"])
+def test_furniture_within_an_article_goes(name):
+    assert pages.read(f'<article><p>one</p><div class="{name}"><p>me</p></div><p>two</p></article>') == (["one", "two"], [], ["me"])
+
+
+def test_end_tags_that_close_nothing_cost_nothing():
+    n = 40_000  # a walk through the open elements for each would take minutes
+    start = time.process_time()
+    assert pages.read("<b>x</i>" * n)[1] == ["x" * n]
+    assert time.process_time() - start < 10
+
+
 def test_unique_runs():
     shared = "this very menu is on each page of ours"
     got = pages.unique_runs([(0, [shared, "only here"], []), (1, [shared + " tail words"], []), (2, [], [])])
@@ -124,6 +146,43 @@ def test_license_join_is_exact(block):
     assert sorted(n for n, _ in join.match(words)) == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("licensed under cc by nc 4 0 all rights reserved x".split()), max_size=14), st.sampled_from([0.7, 0.9, 1.0]))
+def test_order_against_brute_force(block, threshold):
+    words = [w.encode() for w in block]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        return row[-1]
+
+    for wording in licenses.TEMPLATES.values():
+        t = wording.encode().split()
+        width = int(len(t) / threshold + 1e-9)
+        best = max((common(words[k : k + width], t) for k in range(len(words))), default=0)
+        got = max((s for *_, s in licenses.in_order(words, t, threshold)), default=0)
+        assert got == (best / len(t) if best / len(t) >= threshold - 1e-9 else 0)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Licensed under CC BY-NC 4.0.", ["cc-by-nc-4.0"]), ("Licensed under CC BY 4.0", ["cc-by-4.0"]), ("licensed under CC BY-NC-ND 4.0", ["cc-by-nc-nd-4.0"]), ("Licensed under CC BY-SA 4.0", ["cc-by-sa-4.0"]),
+    ("Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.", ["cc-by-4.0", "cc-by-nc-4.0"]), ("all people have rights and some seats are reserved", []), ("0 by 4 cars cc under the roof licensed", []),
+    ("All rights reserved.", ["all-rights-reserved"]), ("This work is licensed under the GNU General Public License, version 3.", ["gpl-3.0"]), ("This work is licensed under the\nGNU General Public License, v. version 3.", ["gpl-3.0"]),
+])
+def test_license_labels(text, want):
+    assert [n for n, _ in licenses.Join({}).scan(text.encode())] == want
+
+
+def test_a_template_within_a_larger_one_goes():
+    join = licenses.Join({}, {"short": "a b c d", "long": "x a b c d y"}, 0.8)
+    assert join.verified(b"x a b c d y".split()) == [("long", 1.0)]
+    assert join.verified(b"x a b c d y q q a b c d".split()) == [("short", 1.0), ("long", 1.0)]
+
+
 def test_filters_return_every_language_that_learned_a_gram():
     f = langid.Filters([("a", 5), ("b", 5), ("b", 9)])
     assert f.languages(np.array([5, 9, 77])).tolist()[:2] == [3, 2]

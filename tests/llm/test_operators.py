@@ -264,6 +264,19 @@ def test_furniture_of_a_large_host_goes_whatever_shards_it_is_in(spark):
     assert got == {k: " ".join(f"p{k}w{x}" for x in range(20)) for k in range(n)}
 
 
+def test_clashing_columns_of_pages(spark):
+    rows = [(1, "http://h/a", "<article><p>one</p></article>", "a", "b", "c", True, 5), (2, "http://h/b", "<div>two</div>", "d", "e", "f", False, 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, _own string, c0 string, _whole boolean, _n long")
+    got = sorted(tuple(r) for r in pages.extract(df).collect())
+    assert got == [(1, "http://h/a", "a", "b", "c", True, 5, "one", 3), (2, "http://h/b", "d", "e", "f", False, 6, "two", 3)]
+
+
+def test_clashing_columns_of_near_duplicates(spark):
+    rows = [(1, BASE, "a", "b", 1, "c", "x"), (2, BASE, "d", "e", 2, "f", "y"), (3, "quite another text than that one", "g", "h", 3, "i", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h string, _k string, _times int, _hash string, c0 string")
+    assert sorted(tuple(r) for r in neardup.deduplicate(df).collect()) == [rows[0], rows[2]]
+
+
 def test_components(spark):
     edges = [(b"a", b"b"), (b"b", b"c"), (b"d", b"e"), (b"z", b"c"), (b"q", b"q")] + [(b"%03d" % k, b"%03d" % (k + 1)) for k in range(40)]
     df = spark.createDataFrame(edges, "a binary, b binary")
@@ -405,7 +418,9 @@ def test_license_query_by_hand(docs):
         own = set()
         for block in [*(text or "").split("\n"), *re.split(r"\n\s*\n", text or "")]:
             have = set(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", block.lower()))
-            own |= {n for n, t in licenses.TEMPLATES.items() if len(have & set(t.split())) >= math.ceil(licenses.THRESHOLD * len(set(t.split())) - 1e-9)}
+            line = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", block.lower())
+            held = {n for n, t in licenses.TEMPLATES.items() if len(have & set(t.split())) >= math.ceil(licenses.THRESHOLD * len(set(t.split())) - 1e-9)}
+            own |= {n for n in held if f" {licenses.TEMPLATES[n]} " in f" {' '.join(line)} "}  # all notices of rows() are literal
         places = [k for k, _ in at]
         base = {label for _, label in at}
         return len(found), len(at), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | own))

@@ -53,6 +53,15 @@ def test_stages_on_nothing(spark, k):
     assert corpus_pipeline.STAGES[k][1](spark, docs, SF).count() == 0
 
 
+def test_stages_leave_columns_of_their_results_names_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "concat('l', doc_id) AS lang_pred", "doc_id * 2 AS toxic_score", "doc_id AS lang_share", "'k' AS _k", "'h' AS _h")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        got = found.collect()
+        assert got and all((r["lang_pred"], r["toxic_score"], r["lang_share"], r["_k"], r["_h"]) == (f"l{r['doc_id']}", 2 * r["doc_id"], r["doc_id"], "k", "h") for r in got)
+
+
 def test_pipeline_keeps_clean_documents(spark):
     from siltstone.llm.common import staged
 
