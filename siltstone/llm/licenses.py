@@ -41,6 +41,7 @@ TEMPLATES = {
     "cc0-1.0": "to the extent possible under law the author has waived all copyright and related rights to this work",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-notice": "released under the mit license",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 THRESHOLD = 0.9

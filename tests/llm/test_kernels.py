@@ -171,7 +171,7 @@ def test_order_against_brute_force(block, threshold):
 @pytest.mark.parametrize("text,want", [
     ("Licensed under CC BY-NC 4.0.", ["cc-by-nc-4.0"]), ("Licensed under CC BY 4.0", ["cc-by-4.0"]), ("licensed under CC BY-NC-ND 4.0", ["cc-by-nc-nd-4.0"]), ("Licensed under CC BY-SA 4.0", ["cc-by-sa-4.0"]),
     ("Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.", ["cc-by-4.0", "cc-by-nc-4.0"]), ("all people have rights and some seats are reserved", []), ("0 by 4 cars cc under the roof licensed", []),
-    ("All rights reserved.", ["all-rights-reserved"]), ("This work is licensed under the GNU General Public License, version 3.", ["gpl-3.0"]), ("This work is licensed under the\nGNU General Public License, v. version 3.", ["gpl-3.0"]),
+    ("All rights reserved.", ["all-rights-reserved"]), ("Released under the MIT License.", ["mit-notice"]), ("This work is licensed under the GNU General Public License, version 3.", ["gpl-3.0"]), ("This work is licensed under the\nGNU General Public License, v. version 3.", ["gpl-3.0"]),
 ])
 def test_license_labels(text, want):
     assert [n for n, _ in licenses.Join({}).scan(text.encode())] == want
