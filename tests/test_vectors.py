@@ -48,6 +48,17 @@ def test_cells_apart_never_meet(spark):
     assert max(sizes) < 250
 
 
+def test_cells_that_spare_nothing_are_one(spark):
+    """At a low threshold every row would visit most cells: rows are sent once for each block, in batches of bounded size."""
+    x = np.random.default_rng(4).standard_normal((4000, 32))
+    cells = vectors._Cells(written(vectors._units(frame(spark, x), "pos", "vector")), 0.2, 500, 500)
+    for below, most in ((True, 4000 * 8), (False, 2 * 4000 * 8)):
+        sent = cells.dealt(cells.home, below)
+        assert sent.count() == most and sent.select("cell").distinct().count() == 1
+    wide = sent.mapInArrow(lambda batches: (b.select(["pos"]).slice(0, 1) for b in batches if b.num_rows > vectors.SENT), "pos long")
+    assert not wide.count()
+
+
 def test_against_index(spark):
     x, y = clustered(200, 2), clustered(300, 2)
     s = unit(x) @ unit(y).T
