@@ -18,18 +18,20 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.stage import shared_path
+from .audit import nearest_second
 
 
-def decided(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+def decided(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: int = 60, late: str = "10 minutes", nearest: bool = False) -> DataFrame:
     """(key, time, tie, allowed) of each request of a stream: whether it is among the first `limit` of its key in its fixed window, by time, then tie.
 
     Requests later than the watermark (`late` behind the latest) get no decision; Spark counts them as
     dropped. A request that comes again counts again, as in a table. Null keys are one client; requests
     without a time are in no window and get no decision. No request is let in before its window has ended.
+    nearest: the nearest whole second tells the window, which then ends half a second before its timer.
     """
     micros = F.unix_micros(time)
     seen = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).filter(F.col(time).isNotNull())
-    seen = seen.select(F.col(key).alias("key"), F.floor(F.unix_timestamp(time) / seconds).alias("window"), F.col(time).alias("time"), micros.alias("micros"), F.col(tie).alias("tie"))
+    seen = seen.select(F.col(key).alias("key"), F.floor((nearest_second(time) if nearest else F.unix_timestamp(time)) / seconds).alias("window"), F.col(time).alias("time"), micros.alias("micros"), F.col(tie).alias("tie"))
     kinds = {f.name: f.dataType for f in seen.schema.fields}
     out = T.StructType([T.StructField("key", kinds["key"]), T.StructField("micros", T.LongType()), T.StructField("tie", kinds["tie"]), T.StructField("allowed", T.BooleanType())])
     held = T.StructType([T.StructField("micros", T.ArrayType(T.LongType())), T.StructField("ties", T.ArrayType(kinds["tie"]))])

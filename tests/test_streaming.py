@@ -29,6 +29,18 @@ def test_stream_decides_as_the_table(spark):
     assert sum(x[3] for x in got) > 50 and not all(x[3] for x in got)
 
 
+def test_windows_of_the_nearest_second(spark):
+    at = [BEGIN + timedelta(seconds=59, milliseconds=k) for k in (0, 400, 600, 900)] + [BEGIN + timedelta(seconds=61)]
+    rows = spark.createDataFrame([("a", t, k) for k, t in enumerate(at)], SCHEMA)
+    far = spark.createDataFrame([("end", BEGIN + timedelta(days=400), -1)], SCHEMA)
+    want = {0: True, 1: False, 2: True, 3: False, 4: False}  # 59.6 and 59.9 stand at the full minute
+    assert {r["id"]: r["allowed"] for r in audit.limited(rows, "who", "ts", 1, 60, "id", nearest=True).collect()} == want
+    stream = limits.decided(limits.replayed(rows, far, 2), "who", "ts", "id", 1, 60, "1 hour", nearest=True)
+    assert {r["id"]: r["allowed"] for r in limits.finished(stream, "limits").collect() if r["id"] >= 0} == want
+    counted = audit.requests(rows, "who", "ts", 1, nearest=True).orderBy("window").select("n", "rejected").collect()
+    assert [tuple(r) for r in counted] == [(2, 1), (3, 2)]
+
+
 def test_late_requests_and_state_go_at_the_watermark(spark):
     """In order of time, with the watermark close behind: rows that come too late get no decision, and no state is left."""
     at, checkpoint, out = (shared_path(spark, x) for x in ("requests", "checkpoint", "decided"))
