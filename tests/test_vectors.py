@@ -91,3 +91,8 @@ def test_greedy_pass_and_what_it_skips(spark, links):
     assert sorted(r["pos"] for r in got.collect()) == kept
     best = {k: max((pairs[k, j], -j) for j in kept if (k, j) in pairs) for k in range(n) if k not in kept}
     assert {r["pos"]: (round(r["score"], 9), r["match"]) for r in vectors.skipped(found, got).collect()} == {k: (round(s, 9), -j) for k, (s, j) in best.items()}
+
+
+def test_scores_of_the_report_are_not_rounded(spark):
+    pairs = spark.createDataFrame([(2, 0, 0.40619049999), (2, 1, 0.40619049998)], "later long, earlier long, score double")
+    assert [tuple(r) for r in vectors.duplicate_report(pairs).collect()] == [(2, 0.40619049999, 0)]
