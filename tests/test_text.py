@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import answers, entities, guard
 from siltstone.functions import text as T
 from siltstone.operators import answering, chunking, filings, vectors
+from siltstone.plans import catalog_text
 
 
 def one(spark, value, f, kind="string"):
@@ -127,6 +128,20 @@ def test_running_headers(spark):
     assert out.count("\n") == df.first()["text"].count("\n") and out.endswith("ACME CORP")
 
 
+def test_running_headers_of_pages_that_copy_a_text(spark, tmp_path):
+    """Pages that begin with one and the same line have no other header than the one that was put above it."""
+    spark.createDataFrame([(k, "The same line\nand more" if k % 2 else "The same line", "src1") for k in range(20)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog_text.running_header_strip(spark, str(tmp_path)).collect()
+    assert sorted(r["page"] for r in got) == list(range(1, 21)) and {r["line"] for r in got} == {"ACME CORP AND SUBSIDIARIES"}
+    assert {r["line_no"] for r in got} == {3 * k + (k // 2) + 1 for k in range(20)}
+
+
+def test_tickers_in_ascii_words(spark):
+    text = "\u00c9COLE AB R\u00c9GION K"
+    assert one(spark, text, T.expected_tickers) == ["AB"]
+    assert one(spark, text, lambda c: T.expected_tickers(c, ascii_words=True)) == ["AB", "COLE", "GION", "R"]
+
+
 def test_clean(spark):
     assert one(spark, "a  b\nApple Inc. | 2025 Form 10-K | 2\n\n\n12\nfiled with this Form 10-K in 2025\n12345", T.clean) == "a b\n\nfiled with this Form 10-K in 2025\n12345"
 
