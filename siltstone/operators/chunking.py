@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from ..functions.text import fixed_chunks, is_table, prose_tail, sentences, stri
 from .rank import dot, normalised
 from .scan import running
 
+#: Texts of a batch whose chunks are held at a time.
+AT_ONCE = 100
 #: Tried in turn: the first that occurs in a text splits it.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -62,11 +65,13 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
 
 
 def recursive_chunks(size: int, overlap: int):
-    """A Pandas UDF of split_recursively()."""
+    """A Pandas UDF of split_recursively(), which gives back a few texts' chunks at a time."""
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursively(t, size, overlap) if t else [])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for a in range(0, len(texts), AT_ONCE):
+                yield texts.iloc[a : a + AT_ONCE].map(lambda t: split_recursively(t, size, overlap) if t else [])
 
     return run
 
@@ -159,14 +164,16 @@ def rolling_segments(df: DataFrame, embed, settings: Settings = DEFAULTS, size:
     told = df.withColumn("_sentences", sentences(F.col("text"))).withColumn("_blank", F.coalesce(stripped(F.col("text")) == "", F.lit(True)))
 
     def run(batches):
-        for batch in batches:
-            text, parts, blank = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "_sentences", "_blank"))
-            out = []
-            for t, p, b in zip(text, parts, blank):
-                found = [] if b else rolled(p, embed.counts(p), settings.breakpoint_percentile) if len(p) > 1 else [t]
-                out.append([x for s in found for x in (split_recursively(s, size, settings.chunk_overlap) if len(s) > settings.max_semantic_chars else [s])])
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.string()))], names=[*rest, "parts"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                text, parts, blank = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "_sentences", "_blank"))
+                out = []
+                for t, p, b in zip(text, parts, blank):
+                    found = [] if b else rolled(p, embed.counts(p), settings.breakpoint_percentile) if len(p) > 1 else [t]
+                    out.append([x for s in found for x in (split_recursively(s, size, settings.chunk_overlap) if len(s) > settings.max_semantic_chars else [s])])
+                kept = [batch.column(batch.schema.get_field_index(c)) for c in rest]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.string()))], names=[*rest, "parts"])
 
     rest = [c for c in df.columns if c not in ("text", "parts")]
     schema = T.StructType([*[df.schema[c] for c in rest], T.StructField("parts", T.ArrayType(T.StringType()))])

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,10 @@ def test_recursive_chunks_cover_the_text():
         assert found == set(re.findall(r"\d{4}", text))
         first = [re.findall(r"\d{4}", c)[:1] for c in chunks]
         assert [x for x in first if x] == sorted(x for x in first if x)
+
+
+def test_chunks_of_a_batch_come_a_few_texts_at_a_time():
+    run = chunking.recursive_chunks(50, 10).func
+    found = list(run(iter([pd.Series(["some words here. " * 9, None] * 125)])))
+    assert [len(x) for x in found] == [100, 100, 50]
+    assert found[0].iloc[0] == chunking.split_recursively("some words here. " * 9, 50, 10) and found[2].iloc[1] == []
