@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +23,7 @@ from pyspark.sql.window import Window
 from ..config import DEFAULTS, Settings
 from ..functions.text import tokens
 from .access import Authorized
-from .rank import DIGITS, _best, ranked
+from .rank import DIGITS, PASSAGES, _best, counted, ranked
 from .stage import written
 
 #: Documents of a block are about as long as each other, and their doc_pos lie in the same range of so many.
@@ -48,6 +50,17 @@ def _listed(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
 
 
+def _counts(batches):
+    """(token, scopes, doc_pos, dl, tf) of each distinct token of each document (doc_pos, scopes, t), some documents at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, PASSAGES):
+            part = batch.slice(a, PASSAGES)
+            words = part.column(2).flatten().dictionary_encode().dictionary
+            row, at, times, size = counted(part.column(2), words)
+            lines, dl = pa.array(row), pa.array(size[row].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(at)), part.column(1).take(lines), part.column(0).take(lines), dl, pa.array(times.astype(np.int32))], names=["token", "scopes", "doc_pos", "dl", "tf"])
+
+
 class KeptBm25:
     """The index of one corpus and key. open() makes or extends it; search() and idf() are those of rank.Bm25.
 
@@ -127,18 +140,21 @@ class KeptBm25:
         n = max(self.deltas(), default=-1) + 1
         put = lambda df, table: df.write.mode("overwrite").parquet(self._path(table, n))
         put(docs.select("doc_pos", "hash"), "docs")
-        each = written(docs.select("doc_pos", "scopes", tokens(F.col("passage")).alias("t")), "bm25-terms")
-        self.tokenised += each.count()
-        # A document's own counts, made where it lies; a posting for each scope that it stands in.
-        own = each.select("doc_pos", "scopes", F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("doc_pos", "scopes", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-        own = own.select("token", F.explode("scopes").alias("scope"), "doc_pos", "dl", F.col("tf").cast("int").alias("tf"), self._block().alias("block"))
+        told = docs.select("doc_pos", "scopes", tokens(F.col("passage")).alias("t"))
+        lengths = written(told.select("doc_pos", "scopes", F.size("t").alias("dl")), "bm25-lengths")
+        self.tokenised += lengths.count()
+        # A document's own counts, made where it lies; a posting for each scope that it stands in. The postings are
+        # dealt once, by ranges in which the blocks are then put together.
+        own = told.mapInArrow(_counts, "token string, scopes array<string>, doc_pos long, dl int, tf int")
+        own = own.select("token", F.explode("scopes").alias("scope"), "doc_pos", "dl", "tf", self._block().alias("block"))
         docs_ = F.array_sort(F.collect_list(F.struct("doc_pos", "dl", "tf")))
-        blocks = own.groupBy("token", "scope", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), docs_.alias("docs"))
-        put(blocks.repartitionByRange("token", "scope", "block").sortWithinPartitions("token", "scope", "block"), "postings")
+        dealt = own.repartitionByRange("token", "scope", "block").sortWithinPartitions("token", "scope", "block")
+        blocks = dealt.groupBy("token", "scope", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), docs_.alias("docs"))
+        put(blocks.sortWithinPartitions("token", "scope", "block"), "postings")
         kept = self.spark.read.parquet(self._path("postings", n))
         put(kept.groupBy("token", "scope").agg(F.sum(F.size("docs")).alias("df")), "frequency")
         every = self.spark.read.parquet(*[self._path("frequency", k) for k in [*self.deltas(), n]]).groupBy("token", "scope").agg(F.sum("df").alias("df"))
-        own_sizes = written(each.select(F.explode("scopes").alias("scope"), F.size("t").alias("dl")).groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("length")), "bm25-size")
+        own_sizes = written(lengths.select(F.explode("scopes").alias("scope"), "dl").groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("length")), "bm25-size")
         sizes = own_sizes if n == 0 else own_sizes.unionByName(self._read("sizes").select("scope", "n", "length"))
         total = sizes.groupBy("scope").agg(F.sum("n").alias("n"))
         put(every.join(total, "scope").groupBy("scope").agg(F.avg(self._raw()).alias("mean")), "means")

@@ -122,3 +122,12 @@ def test_hybrid_takes_the_first_of_equal_texts(spark):
     got = engine.retrieve(spark.createDataFrame([(0, "w1 w2")], "query_id long, query string"), {"admin"}, mode="hybrid", reranked=False)
     found = [r["doc_pos"] for r in got.orderBy("rank").collect()]
     assert len(found) == len(set(found)) and 4 in found and 9 not in found
+
+
+def test_a_document_s_counts_are_made_in_its_task():
+    import pyarrow as pa
+
+    lists = pa.array([["b", "a", "b"], None, [], ["a"]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([["", "x"], [""], [""], [""]]), lists], names=["doc_pos", "scopes", "t"])
+    rows = [tuple(r.values()) for b in lexical._counts([batch]) for r in b.to_pylist()]
+    assert sorted(rows) == [("a", [""], 4, 1, 1), ("a", ["", "x"], 1, 3, 1), ("b", ["", "x"], 1, 3, 2)]
