@@ -8,12 +8,14 @@ most of those apart that can't be similar; a banded alignment of their words fin
 similarity, 1 - distance / longer length, is 0.8 or more.
 
 Equal texts are one node throughout. In the buckets of a few early sketches the texts are aligned with
-one of them, the leader, which joins a large group of copies in one pass. Then, in each bucket with at
-most CROWD texts outside its largest class, all pairs of different classes are tested. Buckets with
+one of them, the leader, which joins a large group of copies in one pass. Then the texts
+outside of a bucket's largest class meet another of its members, and where few pairs a text are left,
+all pairs of different classes are tested. Buckets with
 more are crowds that share a passage rather than a text. Their texts are dealt anew: k-mers and words
 that more than CROWD of these texts hold are left out, and sketches are drawn from all their other
 k-mers and from the words outside of common k-mers, until no crowd is left, or its texts share nothing
-of that kind; then all its pairs are tested after all. So no text
+of that kind. What that leaves apart is settled exactly: all pairs of a crowd's texts whose lengths,
+signatures and word counts allow it are tested, block by block. So no text
 leaves unseen, and pairs are not made within a large class. Classes are the connected components of
 what matched.
 
@@ -42,7 +44,7 @@ SKETCHES = 40
 PICKED = 2
 #: Sketches whose leaders are met before those of the others.
 EARLY = 10
-#: A bucket with more texts than this outside its largest class is a crowd.
+#: A bucket with more pairs of different classes than this for each of so many texts is a crowd; k-mers and words in more texts of a crowd than this are common.
 CROWD = 64
 #: Up to so many k-mers of crowds are left out at a time, the most frequent first.
 COMMON_KMERS = 1_000_000
@@ -53,6 +55,8 @@ BITS, CHANCE = 128, 4.0
 BROADCAST_ROWS = 500_000
 #: A task knows so many of the texts it has met, so as to sketch their copies once.
 KNOWN = 100_000
+#: Texts of a crowd that meet as many others at a time, and the bins in which their words are counted.
+BLOCK, BINS = 2048, 1024
 #: Up to so many links (of 32 bytes) the components are found in one task; more are in rounds over all tasks.
 FEW_LINKS = 200_000
 
@@ -432,11 +436,23 @@ def _led(members: DataFrame, all_: _Texts) -> None:
 
 
 def _several(members: DataFrame) -> DataFrame:
-    """members of the buckets that hold several classes, with the largest of these (most) and how many texts are in others."""
+    """members of the buckets that hold several classes, with the largest of these (most), how many texts are in others, and whether there is a crowd of them."""
     bucket = Window.partitionBy("bucket")
     counted = members.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("bucket", "root"))).withColumn("m", F.max(F.struct("c", "root")).over(bucket))
     counted = counted.withColumn("others", F.count(F.lit(1)).over(bucket) - F.col("m.c")).filter("others > 0")
-    return staged(counted.withColumn("most", F.col("m.root")).drop("c", "m"), "several")
+    size = F.col("others") + F.col("m.c")
+    # Up to CROWD pairs a text are made in a bucket; in a large one, CROWD / 8.
+    crowd = (F.col("others") * size > CROWD * CROWD) & (F.col("others") > CROWD // 8)
+    return staged(counted.withColumns({"most": F.col("m.root"), "crowd": crowd}).drop("c", "m"), "several")
+
+
+def _led_anew(several: DataFrame, all_: _Texts) -> None:
+    """Aligns the texts outside of each bucket's largest class with one member of it, another one in each bucket."""
+    text_ = [F.col(c) for c in ("node", "root", "n", "s0", "s1")]
+    member = F.min(F.when(F.col("root") == F.col("most"), F.struct(F.xxhash64("bucket", "node").alias("h"), *text_))).over(Window.partitionBy("bucket"))
+    met = several.select("most", F.struct(*text_).alias("y"), member.alias("x"))
+    met = met.filter((F.col("y.root") != F.col("most")) & all_.plausible("x", "y"))
+    all_.test(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
 def _between(several: DataFrame, all_: _Texts) -> None:
@@ -448,6 +464,85 @@ def _between(several: DataFrame, all_: _Texts) -> None:
     all_.test(both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
+def word_counts(line: bytes) -> np.ndarray:
+    """How many of the line's words fall into each of BINS bins, up to 255. An edit changes two of these numbers by one at most."""
+    return np.minimum(np.bincount((hashes(line) >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
+
+
+def near_pairs(x: tuple, y: tuple | None, threshold: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of x and y, or within x without y, of different classes whose lengths, signatures and word counts allow similarity.
+
+    x and y: lengths, signatures (two columns), word counts and classes of some texts.
+    """
+    (n, bits, counts, root), (m, bits_, counts_, root_) = x, x if y is None else y
+    at: list[np.ndarray] = []
+    step = max(1, (1 << 19) // max(1, len(m)))
+    for a in range(0, len(n), step):
+        own = slice(a, a + step)
+        longer = np.maximum(n[own, None], m[None, :])
+        apart = np.bitwise_count(bits[own, None, 0] ^ bits_[None, :, 0]) + np.bitwise_count(bits[own, None, 1] ^ bits_[None, :, 1])
+        most = (1 - threshold) * longer + 1e-9
+        good = (np.abs(n[own, None] - m[None, :]) <= most) & (apart <= allowed(longer, threshold)) & (root[own, None] != root_[None, :])
+        if y is None:
+            good &= np.arange(a, min(a + step, len(n)))[:, None] < np.arange(len(m))[None, :]
+        i, j = np.nonzero(good)
+        for b in range(0, len(i), 1 << 12):
+            k, o = i[b : b + (1 << 12)], j[b : b + (1 << 12)]
+            own_, their = counts[a + k], counts_[o]
+            differ = (np.maximum(own_, their) - np.minimum(own_, their)).sum(axis=1, dtype=np.int32)
+            kept = differ + np.abs(n[a + k] - m[o]) <= 2 * most[k, o]  # else more words differ than edits are allowed
+            at.append(np.stack((a + k[kept], o[kept])))
+    found = np.concatenate(at, axis=1) if at else np.empty((2, 0), np.int64)
+    return found[0], found[1]
+
+
+def _settled(nodes: DataFrame, all_: _Texts) -> None:
+    """Tests all pairs of the nodes (node) that are in different classes and can be similar.
+
+    Similar texts have neighbouring classes of length. Each of these is dealt to blocks of about BLOCK
+    texts; a block meets those of its own class and of the next one, each pair of blocks in a group of its own.
+    """
+    threshold = all_.threshold
+
+    def told(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                lines = [normal(x) for x in texts(part)]
+                bits = np.array([signature(x) for x in lines], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index("node")), pa.array([x.count(b" ") + 1 for x in lines], pa.int32()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array([word_counts(x).tobytes() for x in lines], pa.binary())],
+                    names=["node", "n", "s0", "s1", "counts"],
+                )
+
+    rows = mapped(all_.lines(nodes).select("node", "text"), told, "node binary, n int, s0 long, s1 long, counts binary")
+    rows = staged(all_.placed(rows).withColumn("g", F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")), "crowd")
+    sizes = {r["g"]: -(-r["count"] // BLOCK) for r in rows.groupBy("g").count().collect()}  # a row for each class of length
+    parts = lambda by: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for g, k in sizes.items() for v in (g, k)]), F.col("g") + by), F.lit(0))
+    every = lambda by, f: F.transform(F.filter(F.sequence(F.lit(-1), parts(by) - 1), lambda q: q >= 0), f)
+    met = lambda g, p, h, q: F.struct(g.alias("g"), p.alias("p"), h.alias("h"), q.alias("q"))
+    g, p = F.col("g"), F.col("block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), parts(0)).cast("int"))
+    groups = F.concat(every(0, lambda q: met(g, F.least(p, q), g, F.greatest(p, q))), every(1, lambda q: met(g, p, g + 1, q)), every(-1, lambda q: met(g - 1, q, g, p)))
+    rows = rows.select("node", "n", "s0", "s1", "counts", "root", g.alias("own_g"), p.alias("own_p"), F.explode(groups).alias("m")).select("*", "m.*").drop("m")
+
+    def pairs(t: pa.Table) -> pa.Table:
+        same = (t["own_g"].to_numpy() == t["g"].to_numpy()) & (t["own_p"].to_numpy() == t["p"].to_numpy())
+        _, root = np.unique(np.array(t["root"].to_pylist(), dtype=object), return_inverse=True)
+        bits = np.stack((t["s0"].to_numpy(), t["s1"].to_numpy()), axis=1).view(np.uint64)
+        counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, BINS)
+        n, nodes_ = t["n"].to_numpy().astype(np.int64), t["node"].combine_chunks()
+        side = lambda at: (n[at], bits[at], counts[at], root[at])
+        x, y = np.flatnonzero(same), np.flatnonzero(~same)
+        alone = t["g"][0] == t["h"][0] and t["p"][0] == t["q"][0]
+        i, j = near_pairs(side(x), None if alone else side(y), threshold)
+        a, b = nodes_.take(pa.array(x[i])), nodes_.take(pa.array((x if alone else y)[j]))
+        return pa.table({"a": a, "b": b})
+
+    found = staged(rows.groupBy("g", "p", "h", "q").applyInArrow(pairs, "a binary, b binary"), "near")
+    all_.test(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """For each row of df: key, _h (a hash of its text), class_id, class_size (rows) and kept, true for one key and text of each class."""
     docs = df.select(F.col(key).alias(key), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("text"))
@@ -471,19 +566,24 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     owners = staged(rows.groupBy("node").agg(F.min(F.struct("_k", "_h")).alias("o")).select("node", "o._k", "o._h"), "owners")
     all_ = _Texts(docs, owners, threshold)
     held, common, level = _shared(rows), np.empty(0, np.uint64), 0
+    crowd = None
     while held.limit(1).count():
         _led(all_.members(held, early=True), all_)
         several = _several(all_.members(held))
-        _between(several.filter(F.col("others") <= CROWD), all_)
-        nodes = staged(several.filter(F.col("others") > CROWD).select("node").distinct(), "nodes")
+        _led_anew(several, all_)
+        several = _several(all_.placed(several.drop("root", "most", "others", "crowd")))
+        _between(several.filter(~F.col("crowd")), all_)
+        nodes = staged(several.filter("crowd").select("node").distinct(), "nodes")
         if not nodes.limit(1).count():
             break
+        crowd = nodes if crowd is None else crowd  # texts of later crowds are among these
         lines = all_.lines(nodes)
         known, common, level = len(common), _common(lines, common), level + 1
         if len(common) == known:  # nothing tells them apart
-            _between(several.filter(F.col("others") > CROWD), all_)
             break
         held = _shared(staged(_dealt_anew(lines, common, level), "sketches"))
+    if crowd is not None:
+        _settled(crowd, all_)
     placed = all_.placed(rows.select(key, "_k", "_h", "node"))
     first = F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("_h").alias("h"))).alias("first")
     each = staged(placed.groupBy("root").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size"), first), "classes")

@@ -520,3 +520,42 @@ def test_words_outside_of_common_kmers():
     assert (neardup.uncovered(line, np.sort(x[:1])) == h[5:]).all()
     assert (neardup.uncovered(line, np.sort(np.concatenate((x[1:2], h[7:])))) == h[[0, 6]]).all()
     assert (neardup.uncovered(line, np.empty(0, np.uint64)) == h).all() and not len(neardup.uncovered(b"", np.sort(x)))
+
+
+def test_a_crowd_of_nothing_but_common_passages_keeps_its_links(spark, monkeypatch):
+    # Eight passages, each in one of two wordings: every k-mer is common, and two texts are similar where one passage differs at most.
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "sketches", lambda line, common=None: np.array([7], np.uint64))
+    codes = sorted(np.random.default_rng(4).choice(256, 60, replace=False).tolist())
+    texts = [" ".join(f"p{k}v{code >> k & 1}w{x}" for k in range(8) for x in range(6)) for code in codes]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if (codes[i] ^ codes[j]).bit_count() <= 1 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert 1 < len(set(root)) < 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == dict(enumerate(root))
+
+
+def test_pairs_of_a_crowd_of_any_length_meet_in_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = np.random.default_rng(12)
+    texts = []
+    for n in (1, 2, 5, 9, 10, 11, 25, 60, 61, 130, 200):
+        for _ in range(4):
+            t = [f"w{x}" for x in rng.integers(0, 300, n)]
+            texts += [t, t[: max(1, round(0.85 * n))], [f"n{k}" if k % 7 == 0 else w for k, w in enumerate(t)]]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    nodes = df.select(F.col("doc_id").cast("string").cast("binary").alias("node"), F.col("doc_id").cast("string").alias("_k"), F.xxhash64("text").alias("_h"))
+    all_ = neardup._Texts(df.withColumns({"_k": F.col("doc_id").cast("string"), "_h": F.xxhash64("text")}), nodes, 0.8)
+    neardup._settled(nodes.select("node"), all_)
+    tested = {(int(bytes(r["a"])), int(bytes(r["b"]))) for r in all_.tested.collect()}
+    tested |= {(b, a) for a, b in tested}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            assert (i, j) in tested or neardup.distance(a, b, most) > most
+    assert len(tested) < len(texts) ** 2 / 4
