@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..config import DEFAULTS, Settings
-from ..functions.text import fixed_chunks, is_table, prose_tail, sentences, stripped
+from ..functions.text import fixed_chunks, is_table, once, prose_tail, sentences, stripped
 from .rank import dot, normalised
 from .scan import running
 
@@ -95,8 +95,8 @@ def tagged(df: DataFrame, strategy: str, order: list[str]) -> DataFrame:
 def with_captions(df: DataFrame, order: list[str]) -> DataFrame:
     """Tables opened by the last prose before them in the same source and section, by its name or, without one, its id."""
     section = F.coalesce(*[c for c in ("section_name", "section_id") if c in df.columns])
-    tail = prose_tail(F.col("content"))
-    out = running(df, [source_key(), section], order, {"_caption": F.when(tail != "", tail)}).drop("_n")
+    tail = once(prose_tail(F.col("content")), lambda x: F.when(x != "", x))
+    out = running(df, [source_key(), section], order, {"_caption": tail}).drop("_n")
     out = out.withColumn("_caption", F.when(is_table(F.col("content")), F.col("_caption")))
     return out.withColumn("table_context", F.col("_caption").isNotNull()).withColumn(
         "content", F.when(F.col("_caption").isNotNull(), F.concat(F.lit("[Table — preceding text: …"), "_caption", F.lit("]\n\n"), "content")).otherwise(F.col("content"))

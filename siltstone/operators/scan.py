@@ -62,9 +62,10 @@ def running(df: DataFrame, group: list[Column], order: list[str], carry: dict[st
     Rows alike in group and order may come in either order. Names that begin with _ are taken by this scan.
     """
     carry = carry or {}
-    keyed = df.withColumns({"_group": F.to_json(F.struct(*[g.cast("string").alias(str(k)) for k, g in enumerate(group)])), **carry})
+    keyed = df.withColumns({"_group": F.to_json(F.struct(*[g.cast("string").alias(str(k)) for k, g in enumerate(group)]))})
     by = ["_group", *order]
-    dealt = keyed.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    # What is carried is computed after the shuffle, whose ranges come from a first pass over the rows.
+    dealt = keyed.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({**carry, "_part": F.spark_partition_id()})
     fields = [*dealt.schema.fields, T.StructField("_n", T.LongType()), *[T.StructField(f"_before_{c}", dealt.schema[c].dataType) for c in carry]]
     rows = written(dealt.mapInArrow(_scanned(list(carry)), T.StructType(fields)), "scan")
     ends = rows.groupBy("_group", "_part").agg(F.max("_n").alias("_count"), *[F.max_by(F.coalesce(c, f"_before_{c}"), "_n").alias(f"_end_{c}") for c in carry])

@@ -232,3 +232,10 @@ def test_chunks_of_a_batch_come_a_few_texts_at_a_time():
     found = list(run(iter([pd.Series(["some words here. " * 9, None] * 125)])))
     assert [len(x) for x in found] == [100, 100, 50]
     assert found[0].iloc[0] == chunking.split_recursively("some words here. " * 9, 50, 10) and found[2].iloc[1] == []
+
+
+def test_the_tail_and_the_table_test_compute_their_lines_once(spark):
+    df = spark.createDataFrame([("a | b\nsome prose here\n12 34",)], "content string")
+    plan = df.select(T.prose_tail(F.col("content")).alias("t"), T.is_table(F.col("content")).alias("u"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_join") == 1 and plan.count("split(content") == 2
+    assert df.select(T.prose_tail(F.col("content"))).first()[0] == "prose here"
