@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +15,8 @@ from .names import held
 from .order import selected
 from .stage import written
 
+#: Bytes of text in a compressed piece: a batch of 10,000 pieces stays small.
+PIECE = 1 << 15
 # Markers of question types, the first that occurs counts.
 QUESTION_MARKERS = [
     ("total net revenue for its most recent fiscal year", "exact_figure"),
@@ -202,10 +205,50 @@ def basic_evaluation(rows: DataFrame) -> DataFrame:
     )
 
 
-def stratum_counts(questions: DataFrame, question: str = "question") -> DataFrame:
-    """(question_type, n, unmatched): how many questions are of each type; those of none are listed in a row without a type."""
-    typed = questions.select(F.col(question).alias("q"), question_type(F.col(question)).alias("question_type"))
-    return typed.groupBy("question_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("question_type").isNull(), F.col("q")))).alias("unmatched"))
+def stratum_counts(questions: DataFrame, question: str = "question") -> tuple[DataFrame, DataFrame]:
+    """(question_type, n): how many questions are of each type, those of none in a row without a type; and the questions of none, a row each."""
+    typed = written(questions.withColumn("question_type", question_type(F.col(question))), "typed")
+    return typed.groupBy("question_type").agg(F.count(F.lit(1)).alias("n")), typed.filter("question_type IS NULL").drop("question_type")
+
+
+def digest(rows: DataFrame, column: str, separator: str = "\u0001") -> DataFrame:
+    """One row (digest): SHA-256, in hexadecimal, of all strings of a column but nulls, in order and with the separator between them.
+
+    A hash can't be cut up, so one task reads it all: the strings are sorted by ranges in all tasks and
+    come as compressed pieces, of which a few are held at a time.
+    """
+    between = separator.encode()
+
+    def pack(batches):
+        held, size, at = [], 0, 0
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(x.encode())
+                size += len(held[-1])
+                if size >= PIECE:
+                    yield piece(part, at, held)
+                    held, size, at = [], 0, at + 1
+        if held:
+            yield piece(part, at, held)
+
+    def piece(part: int, at: int, held: list[bytes]) -> pa.RecordBatch:
+        raw = between.join(held)
+        return pa.RecordBatch.from_pylist([{"part": part, "at": at, "size": len(raw), "data": pa.compress(raw, codec="zstd", asbytes=True)}], schema=kind)
+
+    def hashed(batches):
+        h, first = hashlib.sha256(), True
+        for batch in batches:
+            for size, data in zip(batch.column(2), batch.column(3)):
+                if not first:
+                    h.update(between)
+                h.update(pa.decompress(data.as_buffer(), decompressed_size=size.as_py(), codec="zstd"))
+                first = False
+        yield pa.RecordBatch.from_pydict({"digest": [h.hexdigest()]})
+
+    kind = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
+    dealt = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("x")).repartitionByRange("x").sortWithinPartitions("x").select(F.spark_partition_id().alias("part"), "x")
+    pieces = dealt.mapInArrow(pack, "part int, at long, size long, data binary")
+    return pieces.repartition(1).sortWithinPartitions("part", "at").mapInArrow(hashed, "digest string")
 
 
 def strata_over_runs(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Models at their boundary: failures of rows, rewriting, a bounded second attempt, reference answers from whole filings."""
 
+import hashlib
 import json
 import sys
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark import cloudpickle
 
 from siltstone.config import Settings
-from siltstone.operators import answering, boundary, groundtruth, recovery
+from siltstone.operators import answering, boundary, evaluate, groundtruth, recovery
 from siltstone.operators.boundary import Model
 from siltstone.plans.engine import Engine
 
@@ -218,3 +219,15 @@ def test_reference_answers(spark):
         else:
             flat = got[k]["ground_truth"].replace("<", "").replace(">", "")
             assert flat == "\n\n".join(found)  # composed in parts, in order
+
+
+def test_unmatched_questions_are_hashed_piece_by_piece(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "PIECE", 50)
+    q = ["", *[f"what about {k * 7919 % 1000} é?" for k in range(300)], "Describe its business segments", None]
+    df = spark.createDataFrame([(x,) for x in q], "question string").repartition(5)
+    counts, none = evaluate.stratum_counts(df)
+    want = sorted((x for x in q if x is not None and "segments" not in x), key=str.encode)
+    assert evaluate.digest(none, "question").first()["digest"] == hashlib.sha256("\u0001".join(want).encode()).hexdigest()
+    assert {r["question_type"]: r["n"] for r in counts.collect()} == {None: 302, "interpretive": 1}
+    one = evaluate.digest(df.filter("question = ''"), "question")
+    assert one.first()["digest"] == hashlib.sha256(b"").hexdigest()
