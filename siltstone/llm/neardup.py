@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -378,18 +379,62 @@ def _shared(found: DataFrame) -> DataFrame:
     return staged(counted.groupBy("node").agg(F.collect_list("bucket").alias("buckets")).join(each, "node"), "held")
 
 
+def _full(lines: DataFrame, items: Callable) -> np.ndarray:
+    """Bits of the bins into which more than CROWD texts of the lines (node, text) put a k-mer or word, as many bins as these have items or so; a common one lies in such a bin.
+
+    A task counts up to CROWD + 1 in a byte and sends its bins by pieces of 2**16, which are added up piece by piece.
+    """
+    size = lines.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bins = 1 << min(24, max(16, (size // 4).bit_length()))
+
+    def count(batches):
+        held = np.zeros(bins, np.uint8)
+        for batch in batches:
+            for x in texts(batch):
+                at = np.unique(_bin(items(normal(x)), bins))
+                held[at] = np.minimum(held[at], CROWD) + 1
+        pieces = held.reshape(-1, 1 << 16)
+        for k in np.flatnonzero(pieces.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pieces[k].tobytes()], pa.binary())], names=["piece", "held"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(1 << 16, np.int64)
+        for x in t["held"]:
+            total += np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table({"piece": t["piece"][:1], "full": pa.array([np.packbits(total > CROWD).tobytes()], pa.binary())})
+
+    found = mapped(lines.select("text"), count, "piece int, held binary").groupBy("piece").applyInArrow(add, "piece int, full binary").collect()  # 2**24 bits at most
+    out = np.zeros((bins >> 16, 1 << 13), np.uint8)
+    for r in found:
+        out[r["piece"]] = np.frombuffer(r["full"], np.uint8)
+    return out.ravel()
+
+
+def _bin(x: np.ndarray, bins: int) -> np.ndarray:
+    return (x & np.uint64(bins - 1)).astype(np.int64)
+
+
 def _common(lines: DataFrame, known: np.ndarray) -> np.ndarray:
-    """Up to COMMON_KMERS k-mers and words outside of known k-mers, besides the known ones, that more than CROWD of the lines (node, text) hold."""
+    """Up to COMMON_KMERS k-mers and words outside of known k-mers, besides the known ones, that more than CROWD of the lines (node, text) hold.
+
+    They are counted in bins first, and only those in full bins one by one: what few texts hold doesn't leave its task.
+    """
     shared = lines.sparkSession.sparkContext.broadcast(known)
 
+    def items(x: bytes) -> np.ndarray:
+        found = np.unique(np.concatenate((kmers(x), uncovered(x, shared.value))))
+        return found[~_among(found, shared.value)]
+
+    full = lines.sparkSession.sparkContext.broadcast(_full(lines, items))
+
     def count(batches):
+        bits = full.value
         for batch in batches:
             for a in range(0, batch.num_rows, 100):
-                lines_ = [normal(x) for x in texts(batch.slice(a, 100))]
-                found = [np.unique(np.concatenate((kmers(x), uncovered(x, shared.value)))) for x in lines_]
-                ids, n = np.unique(np.concatenate(found), return_counts=True)
-                new = ~np.isin(ids, shared.value, assume_unique=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[new].view(np.int64)), pa.array(n[new].astype(np.int64))], names=["kmer", "n"])
+                found = np.concatenate([items(normal(x)) for x in texts(batch.slice(a, 100))])
+                at = _bin(found, 8 * len(bits))
+                ids, n = np.unique(found[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64))], names=["kmer", "n"])
 
     counts = mapped(lines.select("text"), count, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n")).filter(F.col("n") > CROWD)
     found = counts.orderBy(F.desc("n"), "kmer").limit(COMMON_KMERS).select("kmer").toArrow()  # COMMON_KMERS rows

@@ -219,6 +219,28 @@ def test_crowds_that_share_a_passage_keep_their_links(spark):
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == want
 
 
+def test_what_few_texts_of_a_crowd_hold_stays_in_its_task(spark, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(12))
+    sent = []
+
+    def noted(df, run, schema):
+        out = mapped(df, run, schema)
+        if schema == "kmer long, n long":
+            sent.append(out)
+        return out
+
+    mapped = neardup.mapped
+    monkeypatch.setattr(neardup, "mapped", noted)
+    for n in (100, 400):
+        lines = [f"{passage} " + " ".join(f"t{i}w{k}" for k in range(40)) for i in range(n)] + [f"only{k} here" for k in range(neardup.CROWD)] + ["", "short"] * neardup.CROWD
+        df = spark.createDataFrame([(b"%d" % k, x) for k, x in enumerate(lines)], "node binary, text string").repartition(4)
+        known = np.sort(neardup.kmers(passage.encode())[:2])
+        held = Counter(x for line in lines for x in set(neardup.kmers(line.encode()).tolist()) | set(neardup.uncovered(line.encode(), known).tolist()))
+        want = {x for x, times in held.items() if times > neardup.CROWD} | set(known.tolist())
+        assert set(neardup._common(df, known).tolist()) == want and len(want) > 10
+        assert sent[-1].count() < 20 * n  # a text of a crowd has 80 k-mers and words of its own
+
+
 def test_components_in_one_task_and_in_rounds_agree(spark, monkeypatch):
     rng = np.random.default_rng(1)
     edges = [(b"%03d" % a, b"%03d" % b) for a, b in rng.integers(0, 300, (260, 2)).tolist()]
