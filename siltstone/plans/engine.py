@@ -12,7 +12,7 @@ from ..functions import entities, guard
 from ..functions.answers import relevance
 from ..functions.text import passage, stripped
 from ..operators import access, answering, boundary, evaluate, lexical, rank, recovery
-from ..operators.stage import shared_path, written
+from ..operators.stage import written
 
 
 @dataclass
@@ -39,16 +39,15 @@ class Engine:
     choose: boundary.Model | None = None
     _indexes: dict = field(default_factory=dict, init=False, repr=False)
 
-    def lexical_index(self, corpus: access.Authorized, key: str) -> lexical.KeptBm25:
-        """The kept index of what a key may read: opened once, then used by every call.
+    def lexical_index(self, corpus: access.Authorized, key: str) -> lexical.KeptBm25 | rank.Bm25:
+        """The index of what a key may read: made once, then used by every call.
 
-        Under index_root it outlives this engine, and is extended if documents were added meanwhile;
-        without one it lies in the shared folder.
+        Under index_root it is kept: it outlives this engine, and is extended if documents were added
+        meanwhile. Without one, passages are cut into tokens once and scored where they lie, and no
+        postings are made.
         """
-        if self.index_root is None:
-            self.index_root = shared_path(self.corpus.sparkSession, "bm25-index")
         if key not in self._indexes:
-            self._indexes[key] = lexical.KeptBm25.open(corpus, self.index_root, key, self.settings)
+            self._indexes[key] = rank.Bm25(corpus, self.settings) if self.index_root is None else lexical.KeptBm25.open(corpus, self.index_root, key, self.settings)
         return self._indexes[key]
 
     @staticmethod
