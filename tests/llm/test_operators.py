@@ -286,6 +286,52 @@ def test_furniture_of_a_large_host_goes_whatever_shards_it_is_in(spark):
     assert got == {k: " ".join(f"p{k}w{x}" for x in range(20)) for k in range(n)}
 
 
+SITE = "follow us on all our channels for news of the day"
+
+
+def site_pages(n, host="h"):
+    """Marked pages of a host whose footers hold SITE, and the text of each: every third also holds SITE in its article, unnamed."""
+    rows, want = [], {}
+    for k in range(n):
+        own = " ".join(f"p{k}w{x}" for x in range(20))
+        told = f"what stands in adverts is told in articles too {k % 4}"
+        inside = f"<div>{SITE}</div>" if k % 3 == 0 else ""
+        rows.append((k, f"http://{host}/{k}", f'<article><p>{own}</p>{inside}<p>{told}</p><p>they say {SITE} and go</p></article><div class="ad">what stands in adverts is told in articles too {k % 5}</div><footer>about us. {SITE}</footer>'))
+        want[k] = f"{own}\n\n{told}\n\nthey say {SITE} and go"
+    return rows, want
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_site_furniture_goes_from_marked_articles(spark, copies):
+    rows, want = site_pages(9)
+    two = [(100 + k, f"http://two/{k}", html_) for k, _, html_ in rows[:2]]  # two pages don't tell what is furniture
+    df = spark.createDataFrame((rows + two) * copies, "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["text"]) for r in pages.extract(df).collect())
+    want |= {100: want[0].replace("\n\n", f"\n\n{SITE}\n\n", 1), 101: want[1]}
+    assert got == Counter({(k, x): copies for k, x in want.items()})
+
+
+def test_site_furniture_goes_whatever_shards_it_is_in(spark, monkeypatch):
+    rows, want = site_pages(90)
+    small, kept = site_pages(2, "small")
+    rows += [(1000 + k, url, html_) for k, url, html_ in small]
+    want |= {1000: kept[0].replace("\n\n", f"\n\n{SITE}\n\n", 1), 1001: kept[1]}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    for name, value in (("SHARD_PAGES", 10), ("SHARD_CHARS", 3_000)):
+        with monkeypatch.context() as m:
+            m.setattr(pages, name, value)
+            assert {r["page_id"]: r["text"] for r in pages.extract(df).collect()} == one == want
+
+
+def test_furniture_of_under_half_of_a_host_stays_in_articles(spark):
+    line = "this sentence is furniture of a part of the host"
+    for shown, goes in ((4, False), (5, False), (6, True)):  # of ten pages
+        rows = [(k, f"http://h/{k}", f"<article><p>p{k} is told</p><p>{line}</p></article>" + (f"<footer>{line}</footer>" if k < shown else "")) for k in range(10)]
+        got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {k: f"p{k} is told" + ("" if goes else f"\n\n{line}") for k in range(10)}
+
+
 def test_clashing_columns_of_pages(spark):
     rows = [(1, "http://h/a", "<article><p>one</p></article>", "a", "b", "c", True, 5), (2, "http://h/b", "<div>two</div>", "d", "e", "f", False, 6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, _own string, c0 string, _whole boolean, _n long")
