@@ -185,6 +185,15 @@ def test_sections_of_odd_filings(spark):
     assert {k: r["content"] for k, r in _sections(spark, None).items()} == {"full": ""}
 
 
+def test_filings_without_headers_are_read_whole(spark, tmp_path, monkeypatch):
+    long = "Provision for credit losses was large. " * 4200 + "The end is read too."
+    assert _sections(spark, long, whole=True)["full"]["content"] == long
+    # The query's documents are Items, so here they are bound without their headers.
+    monkeypatch.setattr(catalog_text, "_bound", lambda df, *_: df.select("doc_id", "text"))
+    spark.createDataFrame([(1, long)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog_text.section_spans(spark, str(tmp_path)).collect()] == [(1, "full", "Full Filing", 0, len(long))]
+
+
 def test_cleaning_takes_running_headers(spark):
     pages = "\n".join(f"{k}\nACME CORP\nStory {k} goes on." for k in range(1, 10))
     df = spark.createDataFrame([(pages + "\nACME CORP\nends",), (pages.replace("9\nACME", "3\nACME"),), (None,)], "t string")
