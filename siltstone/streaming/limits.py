@@ -3,12 +3,12 @@
 Requests come in any order, so a window's first `limit` are known for sure only when the watermark has
 passed its end. Until then its state holds the `limit` earliest requests seen; what falls out of those can't
 come back and is turned away at once. A timer at the window's end lets the rest in and drops the state, so
-that state is bounded by open windows x limit, however many requests a client sends.
+that state is bounded by open windows x limit, however many requests a client sends. Clients are dealt to
+shards: a state row is a window's shard, so that a call works on the requests of many clients at once.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,46 +20,61 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.stage import shared_path
 from .audit import nearest_second
 
+#: Shards of a window's clients: few, since each costs a call for a micro-batch. A stream keeps their number as long as its checkpoint.
+SHARDS = 32
 
-def decided(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: int = 60, late: str = "10 minutes", nearest: bool = False) -> DataFrame:
+
+def decided(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: int = 60, late: str = "10 minutes", nearest: bool = False, shards: int = SHARDS) -> DataFrame:
     """(key, time, tie, allowed) of each request of a stream: whether it is among the first `limit` of its key in its fixed window, by time, then tie.
 
     Requests later than the watermark (`late` behind the latest) get no decision; Spark counts them as
-    dropped. A request that comes again counts again, as in a table. Null keys are one client; requests
-    without a time are in no window and get no decision. No request is let in before its window has ended.
-    nearest: the nearest whole second tells the window, which then ends half a second before its timer.
+    dropped. A request that comes again counts again, as in a table. Null keys are one client, null ties
+    come first; requests without a time are in no window and get no decision. No request is let in before
+    its window has ended. nearest: the nearest whole second tells the window, which then ends half a second
+    before its timer.
     """
-    micros = F.unix_micros(time)
     seen = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).filter(F.col(time).isNotNull())
-    seen = seen.select(F.col(key).alias("key"), F.floor((nearest_second(time) if nearest else F.unix_timestamp(time)) / seconds).alias("window"), F.col(time).alias("time"), micros.alias("micros"), F.col(tie).alias("tie"))
+    window = F.floor((nearest_second(time) if nearest else F.unix_timestamp(time)) / seconds)
+    # Null keys have a shard of their own. Where one is missing, pandas would make the others' whole numbers floats, so that nulls are marked and filled.
+    shard = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.hash(key), F.lit(shards)))
+    filled = lambda c: F.coalesce(c, F.lit(0).cast(events.schema[c].dataType)) if isinstance(events.schema[c].dataType, T.IntegralType) else F.col(c)
+    seen = seen.select(window.alias("window"), shard.alias("shard"), filled(key).alias("key"), F.col(time).alias("time"), F.unix_micros(time).alias("micros"), F.col(tie).isNotNull().alias("tied"), filled(tie).alias("tie"))
     kinds = {f.name: f.dataType for f in seen.schema.fields}
-    out = T.StructType([T.StructField("key", kinds["key"]), T.StructField("micros", T.LongType()), T.StructField("tie", kinds["tie"]), T.StructField("allowed", T.BooleanType())])
-    held = T.StructType([T.StructField("micros", T.ArrayType(T.LongType())), T.StructField("ties", T.ArrayType(kinds["tie"]))])
-
-    def rows(of, pairs, allowed: bool) -> pd.DataFrame:
-        return pd.DataFrame({"key": pd.Series([of] * len(pairs), dtype=object), "micros": [m for m, _ in pairs], "tie": pd.Series([t for _, t in pairs], dtype=object), "allowed": allowed})
+    names = ["key", "micros", "tied", "tie"]
+    out = T.StructType([T.StructField("shard", T.IntegerType()), *[T.StructField(n, kinds[n]) for n in names], T.StructField("allowed", T.BooleanType())])
+    held = T.StructType([T.StructField(n, T.ArrayType(kinds[n])) for n in names])
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        of, window = group
+        window, shard = group
+        first = pd.DataFrame(dict(zip(names, state.get))) if state.hasTimedOut or state.exists else None
         if state.hasTimedOut:
-            first = list(zip(*state.get))
             state.remove()
-            yield rows(of, first, True)
+            yield first.assign(shard=shard, allowed=True)
             return
-        first = list(zip(*state.get)) if state.exists else []
+
+        def merged(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, pd.DataFrame]:
+            both = pd.concat(parts, ignore_index=True).sort_values(["micros", "tied", "tie"])
+            among = both.groupby("key", dropna=False, sort=False).cumcount() < limit
+            return both[among], both[~among].assign(shard=shard, allowed=False)
+
+        parts, new = [] if first is None else [first], 0
         for pdf in batches:
-            gone = []
-            for pair in zip(pdf["micros"].tolist(), pdf["tie"].tolist()):
-                bisect.insort(first, pair)
-                if len(first) > limit:
-                    gone.append(first.pop())
-            if gone:
-                yield rows(of, gone, False)
-        state.update(([m for m, _ in first], [t for _, t in first]))
+            parts.append(pdf[names])
+            new += len(pdf)
+            if first is None or new >= len(first):  # as many new rows as are held at least, so that the work stays in proportion
+                first, gone = merged(parts)
+                parts, new = [first], 0
+                if len(gone):
+                    yield gone
+        if new:
+            first, gone = merged(parts)
+            if len(gone):
+                yield gone
+        state.update(tuple(first[n].tolist() for n in names))
         state.setTimeoutTimestamp((int(window) + 1) * seconds * 1000)
 
-    found = seen.groupBy("key", "window").applyInPandasWithState(run, out, held, "append", GroupStateTimeout.EventTimeTimeout)
-    return found.select(F.col("key").alias(key), F.timestamp_micros("micros").alias(time), F.col("tie").alias(tie), "allowed")
+    found = seen.groupBy("window", "shard").applyInPandasWithState(run, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.when(F.col("shard") >= 0, F.col("key")).alias(key), F.timestamp_micros("micros").alias(time), F.when(F.col("tied"), F.col("tie")).alias(tie), "allowed")
 
 
 def replayed(rows: DataFrame, closing: DataFrame, files: int = 2) -> DataFrame:

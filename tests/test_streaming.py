@@ -41,6 +41,41 @@ def test_windows_of_the_nearest_second(spark):
     assert [tuple(r) for r in counted] == [(2, 1), (3, 2)]
 
 
+def test_clients_share_the_state_rows_of_a_window(spark):
+    """Many clients of one window are a few calls, not one each."""
+    rows = spark.range(3000).select((F.col("id") % 1000).cast("string").alias("who"), F.timestamp_seconds(F.lit(int(BEGIN.timestamp())) + F.col("id") % 7).alias("ts"), "id")
+    at, checkpoint, out = (shared_path(spark, x) for x in ("requests", "checkpoint", "decided"))
+    rows.coalesce(1).write.parquet(at)
+    query = limits.decided(spark.readStream.schema(SCHEMA).parquet(at), "who", "ts", "id", 2, 60, "1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 1 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= limits.SHARDS
+    assert spark.read.parquet(out).filter("NOT allowed").count() == 1000  # the third of each is turned away at once
+
+
+def test_missing_and_large_ids(spark):
+    big = 2**60
+    rows = [(None if k % 3 == 0 else big + k % 3, BEGIN + timedelta(seconds=k % 4), None if k % 5 == 0 else big + k) for k in range(60)]
+    rows = spark.createDataFrame(rows, "who long, ts timestamp, id long")
+    far = spark.createDataFrame([(None, BEGIN + timedelta(days=400), None)], rows.schema)
+    stream = limits.decided(limits.replayed(rows, far, 3), "who", "ts", "id", 7, 60, "1 hour")
+    got = sorted(((r["who"], r["ts"], r["id"], r["allowed"]) for r in limits.finished(stream, "limits").filter("ts < '2024-06-01'").collect()), key=str)
+    assert got == sorted(map(tuple, audit.limited(rows, "who", "ts", 7, 60, "id").select("who", "ts", "id", "allowed").collect()), key=str)
+    assert sum(x[3] for x in got) == 21
+
+
+def test_a_client_of_many_requests(spark):
+    """A shard's requests come in several parts, and its state is merged with them a few times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = spark.createDataFrame(requests(4, 900), SCHEMA)
+        far = spark.createDataFrame([("end", BEGIN + timedelta(days=400), -1)], SCHEMA)
+        stream = limits.decided(limits.replayed(rows, far, 3), "who", "ts", "id", 60, 600, "1 hour", shards=1)
+        got = sorted(((r["who"], r["ts"], r["id"], r["allowed"]) for r in limits.finished(stream, "limits").collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(tuple, audit.limited(rows, "who", "ts", 60, 600, "id").select("who", "ts", "id", "allowed").collect()), key=str)
+
+
 def test_late_requests_and_state_go_at_the_watermark(spark):
     """In order of time, with the watermark close behind: rows that come too late get no decision, and no state is left."""
     at, checkpoint, out = (shared_path(spark, x) for x in ("requests", "checkpoint", "decided"))
